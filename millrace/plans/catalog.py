@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import quantities
+from millrace.plans import quantities, rl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (quantities,):
+for _module in (rl, quantities):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
