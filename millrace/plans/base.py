@@ -33,17 +33,17 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.where("session_id is not null and turn is not null and size(output_log_probs) > 0")
     old = F.col("output_log_probs")
     mask = F.transform(old, lambda x, i: F.when((i + 1) % 4 == 3, 0.0).otherwise(1.0))
-    adv = (F.col("turn") % 3 - 1).cast("double") * 0.5 + 0.25
+    adv = (F.col("turn") % 3 - 1).cast("double") * 0.5137733 + 0.2531177
     return t.select(
         "session_id", "turn", old.alias("old"),
-        F.transform(old, lambda x, i: x * 0.9 - 0.01 * ((i + 1) % 5)).alias("new"),
-        F.transform(old, lambda x: x * 0.8).alias("ref"),
-        mask.alias("mask"), F.transform(old, lambda _: adv).alias("adv"), ((F.col("turn") + 1) / 4.0).cast("double").alias("reward"),
+        F.transform(old, lambda x, i: x * 0.9137129 - 0.01137731 * ((i + 1) % 5)).alias("new"),
+        F.transform(old, lambda x: x * 0.80713577).alias("ref"),
+        mask.alias("mask"), F.transform(old, lambda _: adv).alias("adv"), ((F.col("turn") + 1) / 4.0713579).cast("double").alias("reward"),
     )
 
 
 #: The same in SQL, a row per token.
 TOK = """t AS (SELECT DISTINCT session_id, turn, output_log_probs FROM turns WHERE session_id IS NOT NULL AND turn IS NOT NULL AND len(output_log_probs) > 0),
 u AS (SELECT session_id, turn, len(output_log_probs) AS n, unnest(output_log_probs) AS old, generate_subscripts(output_log_probs, 1) AS pos FROM t),
-tok AS (SELECT session_id, turn, n, pos, old, old * 0.9 - 0.01 * (pos % 5) AS new, old * 0.8 AS ref, CASE WHEN pos % 4 = 3 THEN 0.0 ELSE 1.0 END AS mask,
- CAST(turn % 3 - 1 AS DOUBLE) * 0.5 + 0.25 AS adv, CAST((turn + 1) / 4.0 AS DOUBLE) AS reward FROM u)"""
+tok AS (SELECT session_id, turn, n, pos, old, old * 0.9137129 - 0.01137731 * (pos % 5) AS new, old * 0.80713577 AS ref, CASE WHEN pos % 4 = 3 THEN 0.0 ELSE 1.0 END AS mask,
+ CAST(turn % 3 - 1 AS DOUBLE) * 0.5137733 + 0.2531177 AS adv, CAST((turn + 1) / 4.0713579 AS DOUBLE) AS reward FROM u)"""

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import quantities, rl
+from millrace.plans import quantities, rl, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (rl, quantities):
+for _module in (rl, tokens, quantities):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
