@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import graders, quantities, relational, rl, sequences, tokens
+from millrace.plans import graders, quantities, relational, rl, sequences, streams, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (rl, tokens, graders, relational, sequences, quantities):
+for _module in (rl, tokens, graders, relational, sequences, streams, quantities):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
