@@ -11,7 +11,7 @@ logarithms (a bounded table: dimensions x cells); the unit with the highest post
 values below ``SURE`` are flagged uncertain. The dimension of such a row comes from how its question asks,
 learned from the rows with stated units.
 
-Defined cases: null or unreadable values and non-finite results give no number (status ``no_value``); a
+Defined cases: a row without an id is no record; null or unreadable values and non-finite results give no number (status ``no_value``); a
 count or ratio has status ``no_unit``; a zero or negative value cannot be put on a log scale and is only
 converted where the unit is stated; conflicting units: the field nearest the value holds.
 """
@@ -253,7 +253,7 @@ def parsed(records: DataFrame) -> DataFrame:
                 out.append((i, value, unit, where, ask_phrase(q)))
             yield pd.DataFrame(out, columns=["id", "value", "unit", "stated_in", "phrase"])
 
-    return records.select("id", "question", "answer_value", "answer_unit", "specified_answer_unit").mapInPandas(run, PARSED)
+    return records.where("id is not null").select("id", "question", "answer_value", "answer_unit", "specified_answer_unit").mapInPandas(run, PARSED)
 
 
 def fit_mixture(cells: np.ndarray, counts: np.ndarray, offsets: np.ndarray, known: tuple[float, float, float], rounds: int = 100) -> tuple[np.ndarray, float, float]:
