@@ -6,7 +6,7 @@ partitions that hold more bins than their bound are opened where they have gaps;
 exchanged (spread anew over fewer partitions) and packed again, and the rounds end when the bound is
 met, nothing is left to gain or ``max_rounds`` is reached.
 
-Defined cases: a null or negative length is no item; an item of length 0 is placed like any other;
+Defined cases: a null length is no item; a null or negative response length trains nothing; an item of length 0 is placed like any other;
 an item longer than the capacity is divided into full pieces and one rest; an empty table gives no bins.
 """
 
@@ -179,7 +179,7 @@ def micro_batches(train_data: DataFrame, pack_limits: DataFrame) -> DataFrame:
     limits = pack_limits.select("setting", F.col("max_tokens_per_gpu").alias("capacity"))
     packed = pack(items.select("item", "length"), limits)
     whole = items.select("item", F.col("length").alias("total"), "trained")
-    first_trained = F.col("total") - F.coalesce(F.least("trained", "total"), F.lit(0))
+    first_trained = F.col("total") - F.least(F.greatest(F.coalesce("trained", F.lit(0)), F.lit(0)), F.col("total"))
     end = F.col("start") + F.col("length")
     trained = F.greatest(F.lit(0).cast("long"), end - F.greatest(first_trained, F.col("start")))
     return packed.join(whole, "item").select("setting", "bin", F.col("item").alias("sample_index"), "piece", "start", "length", trained.alias("trained"))

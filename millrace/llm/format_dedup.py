@@ -23,7 +23,7 @@ POINT, MINUS = "\ue000", "\ue001"
 
 def canonical(text: F.Column) -> F.Column:
     """Text without letter case, white space, punctuation (Unicode P) and invisible format characters."""
-    folded = F.translate(F.lower(F.upper(text)), "ς", "σ")
+    folded = F.replace(F.translate(F.lower(F.upper(text)), "ς", "σ"), F.lit("ß"), F.lit("ss"))
     signs = F.regexp_replace(F.regexp_replace(folded, r"(?<=\p{Nd})\.(?=\p{Nd})", POINT), r"[-−](?=\p{Nd})", MINUS)
     return F.translate(F.regexp_replace(signs, r"[\p{P}\p{IsWhite_Space}\p{Cf}\x1c-\x1f]+", ""), POINT + MINUS, ".-")
 

@@ -16,7 +16,7 @@ import importlib.util
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 #: Pre-tokens of at most this many bytes are kept, at most so many of them.
 CACHE_BYTES, CACHE_ENTRIES = 64, 400_000
+#: Rows encoded into one output batch.
+ROWS = 500
 
 
 class RankQueue:
@@ -164,23 +166,31 @@ def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> By
 def encoded(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids): the token ids of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(folder)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [bpe.encode(t) for t in b["text"]]})
+            for part in _small(b):
+                ids = pa.array([bpe.encode(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, as one of long texts would give a very large one of ids."""
+    return (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS))
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, n_tokens); the ids stay in the task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(folder)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [len(bpe.encode(t)) for t in b["text"]]})
+            counts = pa.array([len(bpe.encode(t)) for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), counts], ["doc_id", "source", "n_tokens"])
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, n_tokens long")
+    return documents.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long")
 
 
 def token_totals(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
