@@ -29,7 +29,7 @@ def short_enough(df: DataFrame, text: str, most: int, strict: bool = False) -> D
     """Rows of at most ``most`` words; ``strict`` raises on a longer one when it is met."""
     n = word_count(F.col(text))
     if strict:
-        return df.withColumn("_ok", F.assert_true(n <= most, F.lit(f"a text has more than {most} words"))).drop("_ok").where(n <= most)
+        return df.where(F.assert_true(n <= most, F.lit(f"a text has more than {most} words")).isNull())
     return df.where(n <= most)
 
 

@@ -75,7 +75,7 @@ def json_array(spark: SparkSession, path: str, schema: str | T.StructType | None
 
 def javascript_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of a file of the form ``name = [...]``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     body = F.regexp_extract("value", r"(?s)=\s*(\[.*\])\s*;?\s*$", 1)
     return text.select(F.explode(F.from_json(body, f"array<struct<{schema}>>", {"mode": "FAILFAST"})).alias("o")).select("o.*")
 

@@ -35,7 +35,13 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r["value"] for r in spark.read.text(path).collect())
+    # a name that begins with an underscore is hidden from scans
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def parquet(df: DataFrame, path: str, schema: T.StructType | None = None, lineage: dict | None = None, mode: str = "errorifexists") -> None:
