@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.tokens import bound
+
 
 def normalized_answer(text: Column) -> Column:
     """Lower case without ASCII punctuation, articles and runs of white space."""
@@ -17,13 +19,18 @@ def normalized_answer(text: Column) -> Column:
 
 def token_f1(prediction: Column, truth: Column) -> Column:
     """Multiset token F1 of normalised texts; closed answers must agree as a whole; null scores 0."""
-    p, t = normalized_answer(prediction), normalized_answer(truth)
-    a, b = F.filter(F.split(p, " "), lambda w: w != ""), F.filter(F.split(t, " "), lambda w: w != "")
-    count = lambda xs, w: F.size(F.filter(xs, lambda y: y == w))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
-    closed = ("yes", "no", "noanswer")
-    wrong = (p != t) & (p.isin(*closed) | t.isin(*closed))
-    return F.when(wrong | (shared == 0) | p.isNull() | t.isNull(), 0.0).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+    both = F.struct(normalized_answer(prediction).alias("p"), normalized_answer(truth).alias("t"))
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    words = bound(both, lambda x: F.struct(x["p"].alias("p"), x["t"].alias("t"), split(x["p"]).alias("a"), split(x["t"]).alias("b")))
+
+    def score(x: Column) -> Column:
+        count = lambda xs, w: F.size(F.filter(xs, lambda y: y == w))
+        shared = F.aggregate(F.array_intersect(x["a"], x["b"]), F.lit(0), lambda s, w: s + F.least(count(x["a"], w), count(x["b"], w)))
+        closed = ("yes", "no", "noanswer")
+        wrong = (x["p"] != x["t"]) & (x["p"].isin(*closed) | x["t"].isin(*closed))
+        return F.when(wrong | (shared == 0) | x["p"].isNull() | x["t"].isNull(), 0.0).otherwise(2.0 * shared / (F.size(x["a"]) + F.size(x["b"])))
+
+    return bound(words, score)
 
 
 def split_answer(text: Column) -> tuple[Column, Column]:

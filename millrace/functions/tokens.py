@@ -1,11 +1,13 @@
-"""Token-level expressions over array columns, JVM-side: divergences, losses, returns, reducers.
+"""Token-level expressions over array columns: divergences, losses and reducers JVM-side, reverse scans on Arrow batches.
 
 All arrays of a row are aligned to the response. A null array gives null; an empty one gives an empty
-array or, for reductions, 0 over a denominator of at least 1. Nothing here shuffles or leaves codegen.
+array or, for reductions, 0 over a denominator of at least 1. Nothing here shuffles; each is linear in the tokens.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,13 @@ def masked_mean(x: Column, mask: Column) -> Column:
 
 
 def broadcast_to(value: Column, like: Column) -> Column:
-    """A sequence-level value at every token."""
-    return F.transform(like, lambda _: value)
+    """A sequence-level value at every token (evaluated once)."""
+    return F.array_repeat(value, F.size(like))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with the value evaluated once, however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def approx_kl(log_probs: Column, base: Column, kind: str, ratio: Column | None = None) -> Column:
@@ -67,8 +74,7 @@ def sequence_kl(log_probs: Column, old: Column, mask: Column) -> Column:
 
 def opsm_mask(log_probs: Column, old: Column, advantages: Column, mask: Column, delta: float) -> Column:
     """1 per kept token; tokens with a negative advantage go where the sequence's KL exceeds ``delta``."""
-    kl = sequence_kl(log_probs, old, mask)
-    return F.transform(advantages, lambda a: F.when((a < 0) & (kl > delta), 0.0).otherwise(1.0))
+    return bound(sequence_kl(log_probs, old, mask), lambda kl: F.transform(advantages, lambda a: F.when((a < 0) & (kl > delta), 0.0).otherwise(1.0)))
 
 
 def ppo_loss(kl: Column, advantages: Column, low: float, high: float, dual: float | None = None) -> Column:
@@ -147,7 +153,7 @@ def mis_mask(train: Column, rollout: Column, mask: Column, level: str, low: floa
         return kept
     diff = F.zip_with(train, rollout, lambda t, r: t - r)
     bad = F.exists(F.arrays_zip(diff.alias("d"), mask.alias("m")), lambda x: (x["d"] < F.log(lit_d(veto))) & (x["m"] > 0))
-    return F.transform(kept, lambda m: F.when(bad, 0.0).otherwise(m))
+    return F.when(bad, broadcast_to(lit_d(0), kept)).otherwise(kept)
 
 
 def mismatch_metrics(train: Column, rollout: Column, mask: Column) -> dict[str, Column]:
@@ -182,16 +188,39 @@ def nll(log_probs: Column) -> Column:
     return F.transform(log_probs, lambda p: -p)
 
 
-def discounted(rewards: Column, gamma: float | Column) -> Column:
-    """G_t = r_t + gamma G_{t+1}, one reverse fold."""
-    start = F.struct(lit_d(0).alias("g"), F.array().cast("array<double>").alias("out"))
-    g = gamma if isinstance(gamma, Column) else lit_d(gamma)
+#: Elements of padded rows that ``discounted`` holds at once.
+PADDED = 2_000_000
+
+
+def _discount(rows: list[np.ndarray], gamma: float) -> list[np.ndarray]:
+    """Reverse scans of ragged rows: runs of similar length are padded and scanned one position at a time."""
+    out: list[np.ndarray] = [np.empty(0)] * len(rows)
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+    at = 0
+    while at < len(order):
+        width = len(rows[order[at]])
+        chunk = order[at : at + max(1, PADDED // max(width, 1))]
+        at += len(chunk)
+        grid = np.zeros((width, len(chunk)))
+        for j, i in enumerate(chunk):
+            grid[: len(rows[i]), j] = rows[i]
+        for t in range(width - 2, -1, -1):
+            grid[t] += gamma * grid[t + 1]
+        for j, i in enumerate(chunk):
+            out[i] = grid[: len(rows[i]), j]
+    return out
+
+
+def discounted(rewards: Column, gamma: float) -> Column:
+    """G_t = r_t + gamma G_{t+1}. Linear in the tokens, on Arrow batches; a fold that appends would copy its array at each step."""
 
-    def step(s: Column, r: Column) -> Column:
-        now = r + g * s["g"]
-        return F.struct(now.alias("g"), F.concat(s["out"], F.array(now)).alias("out"))
+    def run(batch: pd.Series) -> pd.Series:
+        known = [i for i, x in enumerate(batch) if x is not None]
+        done = iter(_discount([np.asarray(batch.iloc[i], np.float64) for i in known], gamma))
+        kept = set(known)
+        return pd.Series([next(done) if i in kept else None for i in range(len(batch))], dtype=object)
 
-    return F.reverse(F.aggregate(F.reverse(rewards), start, step, lambda s: s["out"]))
+    return F.pandas_udf(run, "array<double>")(rewards)
 
 
 def last_trainable(mask: Column) -> Column:
@@ -205,7 +234,7 @@ def token_rewards(reward: Column, kl: Column, mask: Column, kl_coef: float, at_l
     """-coef * kl per trainable token, plus the reward at the last trainable (else the last) token."""
     last = last_trainable(mask) if at_last_trainable else F.size(kl) - 1
     base = F.zip_with(kl, mask, lambda k, m: lit_d(-kl_coef) * k * m) if at_last_trainable else F.transform(kl, lambda k: lit_d(-kl_coef) * k)
-    return F.transform(base, lambda r, i: r + F.when(i == last, reward).otherwise(0.0))
+    return bound(F.struct(last.alias("last"), reward.alias("reward")), lambda x: F.transform(base, lambda r, i: r + F.when(i == x["last"], x["reward"]).otherwise(0.0)))
 
 
 def reinforce_pp_returns(reward: Column, kl: Column, mask: Column, kl_coef: float, gamma: float) -> Column:
@@ -261,9 +290,8 @@ def last_n(x: Column, n: Column) -> Column:
 
 def log_softmax(logits: Column) -> Column:
     """Log-probabilities of a small vocabulary."""
-    top = F.array_max(logits)
-    norm = top + F.log(F.aggregate(logits, lit_d(0), lambda s, v: s + F.exp(v - top)))
-    return F.transform(logits, lambda v: v - norm)
+    norm = bound(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, lit_d(0), lambda s, v: s + F.exp(v - top))))
+    return bound(norm, lambda z: F.transform(logits, lambda v: v - z))
 
 
 def entropy(logits: Column) -> Column:

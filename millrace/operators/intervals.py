@@ -6,12 +6,14 @@ all rows, the interval union works on time slices first, so that no task gets a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.grouped import map_groups
+
 
 def merged(df: DataFrame, keys: Iterable[str], start: str = "start", end: str = "end") -> DataFrame:
     """(keys, start, end) of the union of closed intervals: a new island begins where start exceeds all ends before."""
@@ -73,26 +75,32 @@ def clipped_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     ancestors; a cycle ends the walk. An open span ends at the least of its next sibling's start, its
     nearest closed ancestor's end and the last time of the sample.
     """
-    schema = "sample_index long, span_id string, depth int, shown_end double"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = {r.span_id: r for r in part.itertuples()}
-        times = [t for r in rows.values() for t in (r.start_ts, r.end_ts) if t == t and t is not None]
+    def run(key: tuple, part: list[dict]) -> list[tuple]:
+        spans_of = {r["span_id"]: r for r in part}
+        times = [t for r in part for t in (r["start_ts"], r["end_ts"]) if t is not None]
         last = max(times, default=None)
-        starts = sorted((r.start_ts, r.parent_span_id, r.span_id) for r in rows.values() if r.start_ts == r.start_ts)
+        by_parent: dict[str | None, list[tuple[float, str]]] = {}
+        for r in part:
+            if r["start_ts"] is not None:
+                by_parent.setdefault(r["parent_span_id"], []).append((r["start_ts"], r["span_id"]))
+        for siblings in by_parent.values():
+            siblings.sort()
         out = []
-        for r in rows.values():
-            chain, at = [], r.parent_span_id
-            while at in rows and at != r.span_id and at not in chain and len(chain) < max_depth:
+        for r in part:
+            chain, at = [], r["parent_span_id"]
+            while at in spans_of and at != r["span_id"] and at not in chain and len(chain) < max_depth:
                 chain.append(at)
-                at = rows[at].parent_span_id
-            end = r.end_ts
-            if r.state == "open":
+                at = spans_of[at]["parent_span_id"]
+            end = r["end_ts"]
+            if r["state"] == "open":
                 bounds = [last]
-                bounds += [t for t, p, s in starts if p == r.parent_span_id and s != r.span_id and t >= r.start_ts][:1]
-                bounds += [rows[c].end_ts for c in chain if rows[c].state == "closed"][:1]
+                siblings = by_parent[r["parent_span_id"]]
+                after = bisect_left(siblings, (r["start_ts"], r["span_id"])) + 1
+                bounds += [t for t, _ in siblings[after : after + 1]]
+                bounds += [spans_of[c]["end_ts"] for c in chain if spans_of[c]["state"] == "closed"][:1]
                 end = min(b for b in bounds if b is not None)
-            out.append((r.sample_index, r.span_id, len(chain), end))
-        return pd.DataFrame(out, columns=["sample_index", "span_id", "depth", "shown_end"])
+            out.append((key[0], r["span_id"], len(chain), end))
+        return out
 
-    return spans.where("sample_index is not null").groupBy("sample_index").applyInPandas(run, schema)
+    kept = spans.where("sample_index is not null").select("sample_index", "span_id", "parent_span_id", "start_ts", "end_ts", "state")
+    return map_groups(kept, ["sample_index"], ["span_id"], run, "sample_index long, span_id string, depth int, shown_end double")

@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from millrace.operators.grouped import map_groups
+
 
 @dataclass
 class Turn:
@@ -135,17 +136,20 @@ def session_samples(turns: DataFrame, threshold: int = 16, most_tokens: int = 0)
     """Samples of every session. ``turns`` has (session_id, turn, prompt_ids, output_ids, output_log_probs,
     finish_reason, ill_formed); a turn delivered again counts once; null ids are empty."""
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("turn").sort_values("turn")
-        listed = lambda x: [] if x is None else [v.item() if hasattr(v, "item") else v for v in x]
-        records, said = [], []
-        for r in part.itertuples():
-            turn = Turn(listed(r.prompt_ids), listed(r.output_ids), r.finish_reason, listed(r.output_log_probs), bool(r.ill_formed))
-            reply = {"role": "assistant", "content": tuple(turn.output_ids)}
+    def run(key: tuple, part: list[dict]) -> list[tuple]:
+        records, said, seen = [], [], None
+        for r in part:
+            if r["turn"] == seen:
+                continue
+            seen = r["turn"]
+            turn = Turn(r["prompt_ids"] or [], r["output_ids"] or [], r["finish_reason"], r["output_log_probs"] or [], bool(r["ill_formed"]))
             prompt = [*said, {"role": "user", "content": tuple(turn.prompt_ids)}]
+            reply = {"role": "assistant", "content": tuple(turn.output_ids)}
             records.append((prompt, turn, reply))
             said = [*prompt, reply]
         rows = linearised(grow(Node(), records, threshold), threshold, most_tokens)
-        return pd.DataFrame([(key[0], i, s["tokens"], s["loss_mask"], s["log_probs"], s["response_length"], s["truncated"], s["ill_formed"], s["turns"]) for i, s in enumerate(rows)], columns=[c.split()[0] for c in SAMPLE.split(", ")])
+        return [(key[0], i, s["tokens"], s["loss_mask"], s["log_probs"], s["response_length"], s["truncated"], s["ill_formed"], s["turns"]) for i, s in enumerate(rows)]
 
-    return turns.where("session_id is not null and turn is not null").groupBy("session_id").applyInPandas(run, SAMPLE)
+    columns = ["session_id", "turn", "prompt_ids", "output_ids", "output_log_probs", "finish_reason", "ill_formed"]
+    kept = turns.where("session_id is not null and turn is not null").select(*columns)
+    return map_groups(kept, ["session_id"], ["turn"], run, SAMPLE)

@@ -192,3 +192,27 @@ def test_media_and_audit():
             content.split_media(text, media)
     assert unit_audit.audit("How long is it? (feet)")[:2] == ("explicit_unit_specified", "foot") and unit_audit.audit("How many gears?")[0] == "unit_not_needed"
     assert unit_audit.audit("How heavy is it?")[0] == "unit_required_but_unspecified" and unit_audit.audit(None)[3:] == ("low", True) and len(unit_audit.logic_sha256()) == 64
+
+
+def test_reverse_scans_of_ragged_rows(monkeypatch):
+    from millrace.functions import tokens
+
+    rng = np.random.default_rng(2)
+    rows = [rng.normal(size=n) for n in (5, 0, 1, 40, 7, 7, 300)]
+    for padded in (2_000_000, 50):
+        monkeypatch.setattr(tokens, "PADDED", padded)
+        for got, r in zip(tokens._discount(rows, 0.9), rows):
+            want, g = [], 0.0
+            for x in r[::-1]:
+                g = x + 0.9 * g
+                want.append(g)
+            assert np.allclose(got, want[::-1])
+
+
+def test_grouped_walk(spark):
+    from millrace.operators.grouped import map_groups
+
+    df = spark.range(5000).selectExpr("if(id % 7 = 0, null, id % 7) AS k", "id AS v")
+    out = map_groups(df, ["k"], ["v"], lambda key, rows: [(key[0], len(rows), rows[0]["v"])], "k long, n int, first long").collect()
+    assert sorted((r["k"] or 0, r["n"], r["first"]) for r in out) == [(k, len(range(k, 5000, 7)), k) for k in range(7)]
+    assert map_groups(df.limit(0), ["k"], ["v"], lambda key, rows: [], "k long").count() == 0
