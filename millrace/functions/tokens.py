@@ -6,10 +6,13 @@ array or, for reductions, 0 over a denominator of at least 1. Nothing here shuff
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 SAFETY = 20.0
 
@@ -211,16 +214,23 @@ def _discount(rows: list[np.ndarray], gamma: float) -> list[np.ndarray]:
     return out
 
 
-def discounted(rewards: Column, gamma: float) -> Column:
-    """G_t = r_t + gamma G_{t+1}. Linear in the tokens, on Arrow batches; a fold that appends would copy its array at each step."""
+def discounted(df: DataFrame, rewards: str, gamma: float, out: str) -> DataFrame:
+    """``out``: G_t = r_t + gamma G_{t+1} of each row's array; null stays null.
+
+    Linear in the tokens, on Arrow batches; a fold that appends would copy its array at each step.
+    """
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
 
-    def run(batch: pd.Series) -> pd.Series:
-        known = [i for i, x in enumerate(batch) if x is not None]
-        done = iter(_discount([np.asarray(batch.iloc[i], np.float64) for i in known], gamma))
-        kept = set(known)
-        return pd.Series([next(done) if i in kept else None for i in range(len(batch))], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(b.schema.get_field_index(rewards))
+            known = [i for i, ok in enumerate(column.is_valid().to_pylist()) if ok]
+            done: list = [None] * b.num_rows
+            for i, g in zip(known, _discount([column[i].values.to_numpy(zero_copy_only=False).astype(np.float64) for i in known], gamma)):
+                done[i] = g
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.list_(pa.float64()))], [*b.schema.names, out])
 
-    return F.pandas_udf(run, "array<double>")(rewards)
+    return df.mapInArrow(run, schema)
 
 
 def last_trainable(mask: Column) -> Column:
@@ -237,8 +247,9 @@ def token_rewards(reward: Column, kl: Column, mask: Column, kl_coef: float, at_l
     return bound(F.struct(last.alias("last"), reward.alias("reward")), lambda x: F.transform(base, lambda r, i: r + F.when(i == x["last"], x["reward"]).otherwise(0.0)))
 
 
-def reinforce_pp_returns(reward: Column, kl: Column, mask: Column, kl_coef: float, gamma: float) -> Column:
-    return discounted(token_rewards(reward, kl, mask, kl_coef), gamma)
+def reinforce_pp_returns(df: DataFrame, reward: Column, kl: Column, mask: Column, kl_coef: float, gamma: float, out: str) -> DataFrame:
+    """``out``: discounted returns of token rewards with the reward at the last trainable token."""
+    return discounted(df.withColumn("_r", token_rewards(reward, kl, mask, kl_coef)), "_r", gamma, out).drop("_r")
 
 
 def reinforce_pp_baseline(reward: Column, kl: Column, kl_coef: float) -> Column:
@@ -250,11 +261,15 @@ def grpo_returns(advantage: Column, like: Column) -> Column:
     return broadcast_to(advantage, like)
 
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalized advantage estimates; the value after the last token is 0."""
+def td_errors(rewards: Column, values: Column, gamma: float) -> Column:
+    """r_t + gamma V_{t+1} - V_t; the value after the last token is 0."""
     nxt = F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(lit_d(0)))
-    delta = F.zip_with(F.zip_with(rewards, nxt, lambda r, v: r + lit_d(gamma) * v), values, lambda x, v: x - v)
-    return discounted(delta, gamma * lam)
+    return F.zip_with(F.zip_with(rewards, nxt, lambda r, v: r + lit_d(gamma) * v), values, lambda x, v: x - v)
+
+
+def gae(df: DataFrame, rewards: Column, values: Column, gamma: float, lam: float, out: str) -> DataFrame:
+    """``out``: generalized advantage estimates."""
+    return discounted(df.withColumn("_d", td_errors(rewards, values, gamma)), "_d", gamma * lam, out).drop("_d")
 
 
 def opd_advantage(advantage: Column, student: Column, teacher: Column, coef: float) -> Column:

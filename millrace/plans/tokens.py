@@ -124,7 +124,7 @@ def f7_grpo_returns(spark: SparkSession, d: str) -> DataFrame:
 def f8_discounted_returns(spark: SparkSession, d: str) -> DataFrame:
     c = cols()
     kl = F.zip_with("new", "ref", lambda a, b: a - b)
-    out = sequences(spark, d).select(*KEY, K.reinforce_pp_returns(c["reward"], kl, c["mask"], 0.1, 0.95).alias("g")).select(*KEY, F.posexplode_outer("g").alias("p", "ret")).where("p is not null")
+    out = K.reinforce_pp_returns(sequences(spark, d), c["reward"], kl, c["mask"], 0.1, 0.95, "g").select(*KEY, F.posexplode("g").alias("p", "ret"))
     return out.select(*KEY, (F.col("p") + 1).cast("long").alias("pos"), r6("ret").alias("ret"))
 
 
@@ -140,8 +140,8 @@ def f10_f12_gae(spark: SparkSession, d: str) -> DataFrame:
     c = cols()
     kl = F.zip_with("new", "ref", lambda a, b: a - b)
     rewards = K.token_rewards(c["reward"], kl, c["mask"], 0.1, at_last_trainable=False)
-    g = K.gae(rewards, c["old"], 0.99, 0.9)
-    out = sequences(spark, d).select(*KEY, g.alias("a"), c["old"].alias("v")).select(*KEY, F.posexplode_outer(F.arrays_zip("a", "v")).alias("p", "x")).where("p is not null")
+    g = K.gae(sequences(spark, d), rewards, c["old"], 0.99, 0.9, "a")
+    out = g.select(*KEY, F.posexplode(F.arrays_zip("a", F.col("old").alias("v"))).alias("p", "x"))
     return out.select(*KEY, (F.col("p") + 1).cast("long").alias("pos"), r6("x.a").alias("advantage"), r6(F.col("x.a") + F.col("x.v")).alias("ret"))
 
 
