@@ -42,4 +42,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_forms": _with("documents")(visual_form.classes),
 }
 
-ORACLE: dict[str, str] = {}
+# points between digits are marked twice, as neighbouring matches share a digit
+_MARKED = r"replace(replace(lower(upper({x})), 'ς', 'σ'), 'ß', 'ss')"
+for _ in range(2):
+    _MARKED = rf"regexp_replace({_MARKED}, '(\p{{{{Nd}}}})\.(\p{{{{Nd}}}})', '\1' || chr(57344) || '\2', 'g')"
+_MARKED = rf"regexp_replace({_MARKED}, '[-−](\p{{{{Nd}}}})', chr(57345) || '\1', 'g')"
+_FORM = rf"replace(replace(regexp_replace({_MARKED}, '[\p{{{{P}}}}\s\p{{{{Z}}}}\p{{{{Cf}}}}\x{{{{0b}}}}\x{{{{1c}}}}-\x{{{{1f}}}}\x{{{{85}}}}]+', '', 'g'), chr(57344), '.'), chr(57345), '-')"
+_RECORDS = f"""WITH r AS (SELECT 'problems' AS tbl, problem_id AS id, question AS q, answer_value AS a FROM problems UNION ALL
+SELECT 'raw_records', raw_id, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.question') END, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.answer_value') END FROM raw_records),
+f AS (SELECT tbl, id, {_FORM.format(x="q")} AS q, {_FORM.format(x="a")} AS a FROM r WHERE id IS NOT NULL AND q IS NOT NULL AND a IS NOT NULL)"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": _RECORDS + ", g AS (SELECT tbl, q, a, min(id) AS id_a FROM f GROUP BY 1, 2, 3) SELECT tbl, id_a, id AS id_b FROM f JOIN g USING (tbl, q, a) WHERE id > id_a",
+    "p4_records": _RECORDS + " SELECT tbl, min(id) AS id, count(*) AS copies FROM f GROUP BY tbl, q, a",
+    "p4_collisions": "SELECT CAST(NULL AS VARCHAR) AS tbl, CAST(NULL AS BIGINT) AS h1, CAST(NULL AS BIGINT) AS h2, CAST(NULL AS BIGINT) AS texts WHERE false",
+}
