@@ -11,10 +11,59 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.runtime import bounded_broadcast, cut
+
 
 def statistics(df: DataFrame, column: str, keys: Iterable[str] = ()) -> DataFrame:
     """mean, median (exact, averaged middle), max and min."""
-    return df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.median(column).alias("median"), F.max(column).alias("max"), F.min(column).alias("min"))
+    keys = list(keys)
+    plain = df.groupBy(*keys).agg(F.avg(column).alias("mean"), F.max(column).alias("max"), F.min(column).alias("min"), F.count(column).alias("n"))
+    return with_quantiles(plain, exact_quantiles(df, column, {"median": 0.5}, keys), keys).select(*keys, "mean", "median", "max", "min", "n")
+
+
+def with_quantiles(plain: DataFrame, quantiles: DataFrame, keys: list[str]) -> DataFrame:
+    """Other aggregates with the quantiles of the same keys."""
+    if not keys:
+        return plain.join(F.broadcast(quantiles), F.lit(True), "left")
+    other = [c for c in quantiles.columns if c not in keys]
+    named = quantiles.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *other)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return plain.join(named, same, "left").select(*plain.columns, *other)
+
+
+def exact_quantiles(df: DataFrame, column: str, at: dict[str, float], keys: Iterable[str] = ()) -> DataFrame:
+    """(keys, one column a quantile): exact, linearly interpolated, at any number of rows per key.
+
+    The built-in aggregate keeps all distinct values of a key in one task. Here equal values are counted
+    first, the counts are range-partitioned by (keys, value), and each partition finds the wanted ranks that
+    fall into it by its running sums and the totals of the partitions before (one row a key and partition).
+    """
+    keys = list(keys)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_t"))
+    every = Window.partitionBy(*keys)
+    offsets = parts.select(*keys, "_part", (F.sum("_t").over(every.orderBy("_part")) - F.col("_t")).alias("_before"), F.sum("_t").over(every).alias("_total"))
+    # other names on this side, as both come from one table
+    named = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_before", "_total")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = ranged.join(bounded_broadcast(named), same).select(*keys, "_v", "_n", "_part", "_before", "_total")
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    placed = joined.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_n"))
+    aggregates, wanted = [], F.lit(False)
+    for name, p in at.items():
+        place = (F.col("_total") - 1) * p
+        low, high = F.floor(place + 1e-9), F.ceil(place - 1e-9)
+        holds = lambda r: (F.col("_start") <= r) & (r < F.col("_end"))
+        wanted = wanted | holds(low) | holds(high)
+        a, b = F.max(F.when(holds(low), F.col("_v"))), F.max(F.when(holds(high), F.col("_v")))
+        share = F.max(place - low)
+        aggregates.append(F.when(F.max(F.when(low == high, 1)) == 1, a.cast("double")).otherwise(a + (b - a) * share).alias(name))
+    return placed.where(wanted).groupBy(*keys).agg(*aggregates)
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -89,8 +138,6 @@ def global_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """``average_rank`` over the whole table without one task for all rows: distinct values are range-partitioned,
     partition totals (one row each) shift their running counts."""
     counts = df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(column).withColumn("_part", F.spark_partition_id())
-    from millrace.runtime import cut
-
     counts = cut(counts)
     parts = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))
     before = parts.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_before"))

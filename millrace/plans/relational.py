@@ -23,11 +23,13 @@ def query(sql: str | None = None):
 
 
 EVENT = ("event_id", "ts", "type", "name", "span_id", "parent_span_id", "sample_index", "engine_id", "prompt_tokens", "completion_tokens", "cached_tokens", "queue_time", "e2e_latency", "decode_throughput")
+SPAN = ("ts", "type", "name", "span_id", "parent_span_id", "sample_index")
 E = "e AS (SELECT DISTINCT event_id, ts, type, name, span_id, parent_span_id, sample_index, engine_id, prompt_tokens, completion_tokens, cached_tokens, queue_time, e2e_latency, decode_throughput FROM trace_events)"
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "trace_events").select(*EVENT).distinct()
+def events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Events once each, with the columns asked for only (rows delivered again are equal rows)."""
+    return table(spark, d, "trace_events").select("event_id", *(columns or EVENT[1:])).distinct()
 
 
 # intervals in milliseconds, so that both engines compare whole numbers
@@ -35,7 +37,7 @@ BUSY = f"{E}, b AS (SELECT engine_id, span_id, name, CAST(round((ts - e2e_latenc
 
 
 def busy(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("e2e_latency is not null and not isnan(e2e_latency) and e2e_latency >= 0")
+    e = events(spark, d, "ts", "name", "span_id", "engine_id", "e2e_latency").where("e2e_latency is not null and not isnan(e2e_latency) and e2e_latency >= 0")
     ms = lambda c: F.round(c * 1000).cast("long")
     return e.select("engine_id", "span_id", "name", ms(F.col("ts") - F.col("e2e_latency")).alias("start"), ms(F.col("ts")).alias("end"))
 
@@ -47,16 +49,16 @@ def busy(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median, round(max(v), 6) + 0.0 AS max, round(min(v), 6) + 0.0 AS min FROM u WHERE v IS NOT NULL AND isfinite(v) GROUP BY key""")
 def e8_request_performance(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the finite measures of generation spans."""
-    e = events(spark, d).where("name = 'sglang_generate' and type = 'span_end'")
+    e = events(spark, d, "name", "type", "queue_time", "e2e_latency", "decode_throughput").where("name = 'sglang_generate' and type = 'span_end'")
     u = e.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("v")) for k in ("queue_time", "e2e_latency", "decode_throughput")])).alias("x")).select("x.key", "x.v")
     u = u.where("v is not null and not isnan(v) and abs(v) < double('infinity')")
-    return u.groupBy("key").agg(F.count("*").alias("n"), r6(F.avg("v")).alias("mean"), r6(F.median("v")).alias("median"), r6(F.max("v")).alias("max"), r6(F.min("v")).alias("min"))
+    return metrics.statistics(u, "v", ["key"]).select("key", "n", *[r6(c).alias(c) for c in ("mean", "median", "max", "min")])
 
 
 @query(f"""WITH {E} SELECT engine_id, round(avg(CASE WHEN prompt_tokens > 0 THEN completion_tokens * 1.0 / prompt_tokens ELSE 0 END), 6) + 0.0 AS mean_ratio, round(CASE WHEN sum(prompt_tokens) > 0 THEN sum(cached_tokens) * 1.0 / sum(prompt_tokens) ELSE 0 END, 6) + 0.0 AS cache_ratio, round(avg(cached_tokens), 6) + 0.0 AS mean_cached FROM e WHERE prompt_tokens IS NOT NULL GROUP BY engine_id""")
 def e10_e11_token_ratios(spark: SparkSession, d: str) -> DataFrame:
     """Mean of per-request ratios, and ratio of sums for the prefix cache."""
-    e = events(spark, d).where("prompt_tokens is not null")
+    e = events(spark, d, "engine_id", "prompt_tokens", "completion_tokens", "cached_tokens").where("prompt_tokens is not null")
     return e.groupBy("engine_id").agg(r6(F.avg(metrics.ratio(F.col("completion_tokens"), F.col("prompt_tokens")))).alias("mean_ratio"), r6(metrics.ratio(F.sum("cached_tokens"), F.sum("prompt_tokens"))).alias("cache_ratio"), r6(F.avg("cached_tokens")).alias("mean_cached"))
 
 
@@ -107,7 +109,9 @@ def e31_top_units(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT split, round(avg(w), 6) + 0.0 AS mean, round(quantile_cont(w, 0.5), 6) + 0.0 AS median, round(quantile_cont(w, 0.95), 6) + 0.0 AS p95, max(w) AS max, round(stddev_pop(w), 6) + 0.0 AS std FROM (SELECT split, CAST(len(string_split(trim(regexp_replace(question, '\\s+', ' ', 'g')), ' ')) AS BIGINT) AS w FROM problems WHERE question IS NOT NULL) GROUP BY split""")
 def e31_token_statistics(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "problems").where("question is not null").select("split", F.greatest(transforms.word_count(F.col("question")), F.lit(1)).cast("long").alias("w"))
-    return p.groupBy("split").agg(r6(F.avg("w")).alias("mean"), r6(F.percentile("w", 0.5)).alias("median"), r6(F.percentile("w", 0.95)).alias("p95"), F.max("w").alias("max"), r6(F.stddev_pop("w")).alias("std"))
+    plain = p.groupBy("split").agg(r6(F.avg("w")).alias("mean"), F.max("w").alias("max"), r6(F.stddev_pop("w")).alias("std"))
+    out = metrics.with_quantiles(plain, metrics.exact_quantiles(p, "w", {"median": 0.5, "p95": 0.95}, ["split"]), ["split"])
+    return out.withColumn("median", r6("median")).withColumn("p95", r6("p95"))
 
 
 @query("""WITH x AS (SELECT n_chars AS v FROM documents WHERE n_chars IS NOT NULL), b AS (SELECT CASE WHEN v < 0 THEN 0 WHEN v > 3000 THEN 31 WHEN v = 3000 THEN 30 ELSE CAST(floor(v / 100.0) AS INT) + 1 END AS bin FROM x) SELECT bin, round((bin - 1) * 100.0, 6) AS low, round(bin * 100.0, 6) AS high, count(*) AS n FROM b GROUP BY bin""")
@@ -180,32 +184,32 @@ def h6_gap_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """First minute-long event without a latency that overlaps each idle gap."""
     islands = intervals.merged_sliced(busy(spark, d), ["engine_id"], "start", "end", 86_400_000.0)
     g = intervals.gaps(islands, ["engine_id"])
-    o = events(spark, d).where("e2e_latency is null").select("engine_id", "name", F.round(F.col("ts") * 1000).cast("long").alias("start")).distinct().withColumn("end", F.col("start") + 60_000)
+    o = events(spark, d, "ts", "name", "engine_id", "e2e_latency").where("e2e_latency is null").select("engine_id", "name", F.round(F.col("ts") * 1000).cast("long").alias("start")).distinct().withColumn("end", F.col("start") + 60_000)
     return intervals.first_overlap(g, o, "engine_id", 3_600_000.0).select("engine_id", "gap_start", "gap_end", "op_start")
 
 
 @query(f"""WITH {E}, s AS (SELECT span_id, min(ts) AS start_ts, min(name) AS name, min(parent_span_id) AS parent FROM e WHERE type = 'span_start' GROUP BY 1), n AS (SELECT span_id, max(ts) AS end_ts, min(name) AS name, min(parent_span_id) AS parent FROM e WHERE type = 'span_end' GROUP BY 1)
 SELECT coalesce(s.span_id, n.span_id) AS span_id, coalesce(s.name, n.name) AS name, coalesce(s.parent, n.parent) AS parent_span_id, CASE WHEN n.span_id IS NULL THEN 'open' WHEN s.span_id IS NULL THEN 'orphan' ELSE 'closed' END AS state FROM s FULL JOIN n ON s.span_id = n.span_id""")
 def h7_paired_spans(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.paired_spans(events(spark, d)).select("span_id", "name", "parent_span_id", "state")
+    return intervals.paired_spans(events(spark, d, *SPAN)).select("span_id", "name", "parent_span_id", "state")
 
 
 @query(f"""WITH {E}, s AS (SELECT span_id, min(name) AS name, min(parent_span_id) AS parent FROM e GROUP BY 1) SELECT c.span_id, p.name AS parent_name, p.span_id IS NULL AS unknown_parent FROM s c LEFT JOIN s p ON c.parent = p.span_id WHERE c.parent IS NOT NULL""")
 def h8_parent_names(spark: SparkSession, d: str) -> DataFrame:
-    s = events(spark, d).groupBy("span_id").agg(F.min("name").alias("name"), F.min("parent_span_id").alias("parent"))
+    s = events(spark, d, "span_id", "name", "parent_span_id").groupBy("span_id").agg(F.min("name").alias("name"), F.min("parent_span_id").alias("parent"))
     p = s.select(F.col("span_id").alias("parent"), F.col("name").alias("parent_name"))
     return s.where("parent is not null").drop("name").join(p, "parent", "left").select("span_id", "parent_name", F.col("parent_name").isNull().alias("unknown_parent"))
 
 
 @query()
 def l8_span_trees(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.clipped_tree(intervals.paired_spans(events(spark, d))).withColumn("shown_end", r6("shown_end"))
+    return intervals.clipped_tree(intervals.paired_spans(events(spark, d, *SPAN))).withColumn("shown_end", r6("shown_end"))
 
 
 @query(f"""WITH {E}, r AS (SELECT engine_id, row_number() OVER (PARTITION BY engine_id ORDER BY ts, event_id) AS rn, ts, event_id, count(*) OVER (PARTITION BY engine_id) AS n FROM e WHERE name = 'weight_sync') SELECT engine_id, CAST(floor((rn - 1) / 3) AS BIGINT) AS step, min(event_id) AS first_event, count(*) AS launches FROM r WHERE floor((rn - 1) / 3) < floor(n / 3) GROUP BY 1, 2""")
 def l11_triples(spark: SparkSession, d: str) -> DataFrame:
     """Launches of each engine in full triples (a last incomplete one is no step)."""
-    e = events(spark, d).where("name = 'weight_sync'")
+    e = events(spark, d, "ts", "name", "engine_id").where("name = 'weight_sync'")
     w = Window.partitionBy("engine_id")
     r = e.select("engine_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("rn"), F.count("*").over(w).alias("n")).where("floor((rn - 1) / 3) < floor(n / 3)")
     return r.groupBy("engine_id", F.floor((F.col("rn") - 1) / 3).alias("step")).agg(F.min("event_id").alias("first_event"), F.count("*").alias("launches"))

@@ -48,7 +48,7 @@ def e2_pass_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {S} SELECT source, round(avg(response_length), 6) + 0.0 AS mean, median(response_length) AS median, max(response_length) AS max, min(response_length) AS min FROM s GROUP BY source""")
 def e1_length_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.statistics(samples(spark, d), "response_length", ["source"]).withColumn("mean", r6("mean"))
+    return metrics.statistics(samples(spark, d), "response_length", ["source"]).withColumn("mean", r6("mean")).drop("n")
 
 
 @query(f"""WITH {S} SELECT source, round(avg(reward), 6) + 0.0 AS mean_reward, round(avg(CASE WHEN status = 'truncated' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS truncated_ratio, count(*) AS n FROM s GROUP BY source""")

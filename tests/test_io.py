@@ -159,3 +159,19 @@ def test_filters_and_metrics(spark):
     ties = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0), (2.0, 3.0), (3.0, 3.0)], "a double, b double")
     assert metrics.spearman(ties, "a", "b").first()["spearman"] == pytest.approx(8 / 9)
     assert metrics.spearman(ties.limit(1), "a", "b").first()["spearman"] is None
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 501), (None, 100)) for v in rng.integers(0, 40, n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in metrics.exact_quantiles(df, "v", {"q0": 0.0, "med": 0.5, "p95": 0.95, "q1": 1.0}, ["k"]).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, r in got.items():
+        xs = [v for kk, v in rows if kk == k and v is not None]
+        assert [r["q0"], r["med"], r["p95"], r["q1"]] == pytest.approx(np.quantile(xs, [0, 0.5, 0.95, 1]).tolist())
+    whole = metrics.statistics(df, "v").first()
+    xs = [v for _, v in rows if v is not None]
+    assert whole["median"] == pytest.approx(float(np.median(xs))) and whole["n"] == len(xs)
