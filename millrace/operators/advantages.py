@@ -56,7 +56,7 @@ def whitened(df: DataFrame, values: str, mask: str, out: str = "whitened", shift
     mean = F.col("_s") / F.col("_n")
     var = (F.col("_q") / F.col("_n") - mean * mean) * F.col("_n") / F.greatest(F.col("_n") - 1, F.lit(1.0))
     scale = 1 / F.sqrt(var + 1e-8)
-    joined = df.crossJoin(F.broadcast(one))  # one row
+    joined = df.join(F.broadcast(one))  # one row
     white = F.transform(values, lambda v: (v - mean) * scale + (F.lit(0.0) if shift_mean else mean))
     return joined.withColumn(out, white).drop("_n", "_s", "_q")
 

@@ -105,14 +105,14 @@ def length_shares(df: DataFrame, length: Column, limit: int, bins: int = 4) -> D
     part = F.greatest(F.ceil(length / (limit / bins)), F.lit(1))
     counted = df.where(length <= limit).groupBy(part.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("_all"))
-    return counted.crossJoin(F.broadcast(total)).select(F.format_string("p%d", (F.col("bin") * 100 / bins).cast("int")).alias("bin"), (F.col("n") / (F.col("_all") + 1e-9)).alias("share"))
+    return counted.join(F.broadcast(total)).select(F.format_string("p%d", (F.col("bin") * 100 / bins).cast("int")).alias("bin"), (F.col("n") / (F.col("_all") + 1e-9)).alias("share"))
 
 
 def shares(df: DataFrame, key: str, count: str = "n") -> DataFrame:
     """(key, n, share)."""
     counted = df.groupBy(key).agg(F.count("*").alias(count))
     total = counted.agg(F.sum(count).alias("_all"))
-    return counted.crossJoin(F.broadcast(total)).select(key, count, (F.col(count) / F.col("_all")).alias("share"))
+    return counted.join(F.broadcast(total)).select(key, count, (F.col(count) / F.col("_all")).alias("share"))
 
 
 def conflicts(df: DataFrame, keys: Iterable[str], value: str) -> DataFrame:
@@ -127,34 +127,36 @@ def order_of_magnitude(x: Column) -> Column:
     return F.when(~finite, None).when(x == 0, zero).otherwise(F.struct(F.signum(x).cast("int").alias("sign"), F.floor(F.log10(F.abs(x))).alias("decade")))
 
 
-def average_rank(column: str, keys: Iterable[str] = ()) -> Column:
-    """Rank with ties sharing their mean rank; partition by real keys wherever there are any."""
-    w = Window.partitionBy(*keys).orderBy(column)
-    ties = Window.partitionBy(*keys, column)
-    return F.rank().over(w) + (F.count("*").over(ties) - 1) / 2
+def average_ranks(df: DataFrame, column: str, out: str, keys: Iterable[str] = ()) -> DataFrame:
+    """``out``: rank within ``keys`` with ties sharing their mean rank, at any number of rows per key.
 
-
-def global_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``average_rank`` over the whole table without one task for all rows: distinct values are range-partitioned,
-    partition totals (one row each) shift their running counts."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n")).repartitionByRange(column).withColumn("_part", F.spark_partition_id())
-    counts = cut(counts)
-    parts = counts.groupBy("_part").agg(F.sum("_n").alias("_t"))
-    before = parts.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(column))
-    ranks = counts.join(F.broadcast(before), "_part").select(column, (F.col("_before") + inside - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, column)
+    Equal values are counted, the counts are range-partitioned, and the totals of earlier partitions (one
+    row a key and partition) shift each partition's running sums.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange(*keys, column).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_t"))
+    before = (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_t")).alias("_before")
+    named = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before)
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(column))
+    placed = ranged.join(bounded_broadcast(named), same).withColumn(out, F.col("_before") + inside - (F.col("_n") - 1) / 2)
+    ranks = placed.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.col(column).alias("_rv"), out)
+    match = F.col(column) == F.col("_rv")
+    for i, k in enumerate(keys):
+        match &= F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return df.join(ranks, match).select(*df.columns, out)
 
 
 def spearman(df: DataFrame, a: str, b: str, keys: Iterable[str] = ()) -> DataFrame:
     """Rank correlation with ties; null below two rows or for a constant side."""
     keys = list(keys)
     finite = df.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in (a, b)))
-    if keys:
-        ranked = finite.withColumn("_ra", average_rank(a, keys)).withColumn("_rb", average_rank(b, keys))
-    else:
-        ranked = global_average_rank(global_average_rank(finite, a, "_ra"), b, "_rb")
-    varied = (F.count_distinct("_ra") > 1) & (F.count_distinct("_rb") > 1)
+    ranked = average_ranks(average_ranks(finite, a, "_ra", keys), b, "_rb", keys)
+    varied = (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
     return ranked.groupBy(*keys).agg(F.when(varied, F.corr("_ra", "_rb")).alias("spearman"), F.count("*").alias("rows"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.transforms import positioned
+from millrace.runtime import bounded_broadcast
 
 
 def shuffled_key(key: Column, seed: int | Column) -> Column:
@@ -83,8 +84,8 @@ def apportioned(df: DataFrame, stratum: str, key: str, shares: list[tuple[str, f
         total = total + c
         ends.append(total)
     bounds = sizes.select(stratum, *[e.cast("long").alias(f"_e{i}") for i, e in enumerate(ends)])
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled_key(F.col(key), F.xxhash64(F.lit(seed), F.col(stratum))), key))
-    placed = df.withColumn("_k", rank).join(bounds, stratum)
+    hashed = df.withColumn("_h", shuffled_key(F.col(key), F.xxhash64(F.lit(seed), F.col(stratum))))
+    placed = positioned(hashed, ["_h", key], "_k", 1, [stratum]).drop("_h").join(bounded_broadcast(bounds), stratum)
     part = F.lit(shares[-1][0])
     for i in range(len(shares) - 2, -1, -1):
         part = F.when(F.col("_k") <= F.col(f"_e{i}"), shares[i][0]).otherwise(part)

@@ -7,21 +7,30 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.runtime import cut
+from millrace.runtime import bounded_broadcast, cut
 
 
-def positioned(df: DataFrame, order: Iterable[str], out: str, start: int = 0) -> DataFrame:
-    """0-based place of each row in a total order, without one task for all rows.
+def positioned(df: DataFrame, order: Iterable[str], out: str, start: int = 0, keys: Iterable[str] = (), total: str | None = None) -> DataFrame:
+    """0-based place of each row in a total order, overall or within ``keys``, without one task for all rows of a key.
 
-    Rows are range-partitioned by the order; each partition numbers its own and is shifted by the sizes of
-    those before it (one row a partition).
+    Rows are range-partitioned by keys and order; each partition numbers its own rows and is shifted by the
+    sizes of those before it (one row a key and partition). ``total`` names a column for the rows of the key.
     """
-    order = list(order)
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + number - 1 + start).cast("long")).drop("_part", "_before")
+    keys, order = list(keys), list(order)
+    ranged = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    every = Window.partitionBy(*keys)
+    before = (F.sum("_n").over(every.orderBy("_part")) - F.col("_n")).alias("_before")
+    # other names on this side, as both come from one table
+    named = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), before, F.sum("_n").over(every).alias("_total"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    number = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    placed = ranged.join(bounded_broadcast(named) if keys else F.broadcast(named), same).withColumn(out, (F.col("_before") + number - 1 + start).cast("long"))
+    if total:
+        placed = placed.withColumn(total, F.col("_total"))
+    return placed.select(*df.columns, out, *([total] if total else []))
 
 
 def expand_groups(prompts: DataFrame, n: int, group: str) -> DataFrame:

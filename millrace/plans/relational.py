@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import filters, intervals, metrics, retrieval, splits, transforms
@@ -210,8 +210,7 @@ def l8_span_trees(spark: SparkSession, d: str) -> DataFrame:
 def l11_triples(spark: SparkSession, d: str) -> DataFrame:
     """Launches of each engine in full triples (a last incomplete one is no step)."""
     e = events(spark, d, "ts", "name", "engine_id").where("name = 'weight_sync'")
-    w = Window.partitionBy("engine_id")
-    r = e.select("engine_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("rn"), F.count("*").over(w).alias("n")).where("floor((rn - 1) / 3) < floor(n / 3)")
+    r = transforms.positioned(e.select("engine_id", "event_id", "ts"), ["ts", "event_id"], "rn", 1, ["engine_id"], "n").where("floor((rn - 1) / 3) < floor(n / 3)")
     return r.groupBy("engine_id", F.floor((F.col("rn") - 1) / 3).alias("step")).agg(F.min("event_id").alias("first_event"), F.count("*").alias("launches"))
 
 
