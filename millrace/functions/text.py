@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions.tokens import bound
 
+#: White space and word characters as Python has them, over all of Unicode; ``\s`` and ``\b`` of the JVM differ.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = r"[\p{L}\p{N}_]"
+
 
 def normalized_answer(text: Column) -> Column:
     """Lower case without ASCII punctuation, articles and runs of white space."""
     plain = F.regexp_replace(F.lower(text), r"\p{Punct}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(?:a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, rf"(?<!{WORD})(?:a|an|the)(?!{WORD})", " "), SPACE + "+", " "))
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:
@@ -34,8 +38,9 @@ def token_f1(prediction: Column, truth: Column) -> Column:
 
 
 def split_answer(text: Column) -> tuple[Column, Column]:
-    """Leading number and the unit behind it; empty where there is none."""
-    return F.regexp_extract(text, r"^\s*([-+]?[0-9][0-9.,]*)", 1), F.trim(F.regexp_extract(text, r"^\s*[-+]?[0-9][0-9.,]*\s*([A-Za-z].*)$", 1))
+    """Leading number and the unit behind it, which begins with a letter or any sign beyond ASCII; empty where there is none."""
+    number = rf"(?s)^{SPACE}*([-+]?[0-9][0-9.,]*)"
+    return F.regexp_extract(text, number, 1), F.regexp_extract(text, rf"{number}{SPACE}*+([A-Za-z[^\x00-\x7f]].*?){SPACE}*$", 2)
 
 
 def normalize_question(text: str | None) -> str | None:

@@ -58,6 +58,30 @@ def k3_exact_match(spark: SparkSession, d: str) -> DataFrame:
     return ascii_pairs(spark, d).where("label is not null").select("sample_index", same.cast("int").alias("em"))
 
 
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    """All rows with a response, in any script."""
+    return pairs(spark, d).where("response is not null").select("sample_index", "response", "label").distinct()
+
+
+# k1 to k3, k19, k20 and k33 have SQL and so keep to the rows on which it agrees; those named _all cover every row.
+
+
+@query()
+def k1_normalized_answers_all(spark: SparkSession, d: str) -> DataFrame:
+    return answered(spark, d).select("sample_index", X.normalized_answer(F.col("response")).alias("normalized"))
+
+
+@query()
+def k2_token_f1_all(spark: SparkSession, d: str) -> DataFrame:
+    return answered(spark, d).where("label is not null").select("sample_index", r6(X.token_f1(F.col("response"), F.col("label"))).alias("f1"))
+
+
+@query()
+def k3_exact_match_all(spark: SparkSession, d: str) -> DataFrame:
+    same = X.normalized_answer(F.col("response")) == X.normalized_answer(F.col("label"))
+    return answered(spark, d).where("label is not null").select("sample_index", same.cast("int").alias("em"))
+
+
 @query()
 def k8_k11_boxed_math(spark: SparkSession, d: str) -> DataFrame:
     reward = batched(G.math_reward, "double")
@@ -105,12 +129,24 @@ def k19_split_answers(spark: SparkSession, d: str) -> DataFrame:
     return p.select("problem_id", value.alias("value"), unit.alias("unit"))
 
 
+@query()
+def k19_split_answers_all(spark: SparkSession, d: str) -> DataFrame:
+    value, unit = X.split_answer(F.col("answer_value"))
+    return table(spark, d, "problems").where("answer_value is not null").select("problem_id", value.alias("value"), unit.alias("unit"))
+
+
 @query(r"""SELECT problem_id, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS normalized FROM problems WHERE regexp_full_match(question, '[ -~\n\r\t]*')""")
 def k20_normalized_questions(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "problems").where(r"question rlike '^[ -~\n\r\t]*$' and not question rlike '[^ -~\n\r\t]'")
     return p.select("problem_id", batched(X.normalize_question, "string")("question").alias("normalized"))
 
 
+@query()
+def k20_normalized_questions_all(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "problems").where("question is not null")
+    return p.select("problem_id", batched(X.normalize_question, "string")("question").alias("normalized"))
+
+
 @query()
 def k22_k24_fermi_scores(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d).where("source = 'fermi'")
@@ -157,6 +193,12 @@ def k33_sanitized_queries(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_index", batched(G.sanitized_query, "string")("prompt").alias("query")).distinct()
 
 
+@query()
+def k33_sanitized_queries_all(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs(spark, d).where("prompt is not null").select("sample_index", "prompt").distinct()
+    return p.select("sample_index", batched(G.sanitized_query, "string")("prompt").alias("query")).distinct()
+
+
 @query("""SELECT name, CASE WHEN name LIKE '%sync%' THEN 'communication' WHEN name LIKE '%generate%' THEN 'generation' WHEN name LIKE '%reward%' THEN 'reward' ELSE 'other' END AS category, count(*) AS n FROM (SELECT DISTINCT event_id, name FROM trace_events) GROUP BY 1, 2""")
 def k36_span_categories(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "trace_events").select("event_id", "name").distinct()

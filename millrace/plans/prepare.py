@@ -85,6 +85,12 @@ def c31_compact_texts(spark: SparkSession, d: str) -> DataFrame:
     return doc.select("doc_id", transforms.compact_text(F.col("text")).alias("compact"))
 
 
+@query("""SELECT doc_id, CASE WHEN length(text) > 256 THEN left(text, 256) || '...' ELSE text END AS compact FROM documents WHERE text IS NOT NULL""")
+def c31_compact_texts_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every text, in any script; lengths are code points."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", transforms.compact_text(F.col("text")).alias("compact"))
+
+
 @query()
 def c2_c3_media_parts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with two placed images split into typed parts."""

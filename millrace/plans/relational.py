@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text
+from millrace.functions.udfs import batched
 from millrace.operators import filters, intervals, metrics, retrieval, splits, transforms
 from millrace.plans.base import r6
 from millrace.runtime import table
@@ -139,6 +141,13 @@ def e35_conflicting_answers(spark: SparkSession, d: str) -> DataFrame:
     return metrics.conflicts(p.withColumn("q", F.trim(F.regexp_replace(F.lower("question"), r"\s+", " "))), ["q"], "answer_value")
 
 
+@query()
+def e35_conflicting_answers_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every question, in any script: compatibility form, case folded, white space collapsed."""
+    p = table(spark, d, "problems").where("question is not null").select("answer_value", batched(text.normalize_question, "string")("question").alias("q"))
+    return metrics.conflicts(p, ["q"], "answer_value")
+
+
 # -- joins --------------------------------------------------------------------------------
 
 
