@@ -7,8 +7,10 @@ packings (first fit) follow the position of the samples.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -118,9 +120,12 @@ def split_largest(bins: Bins, target: int, lengths: Sequence[int]) -> Bins:
     return out
 
 
-def size_chunks(sizes: Sequence[int], most: int) -> list[int]:
-    """Chunk of each item: a new one begins where the running size would exceed ``most``."""
-    out, chunk, total = [], 0, 0
+def size_chunks(sizes: Sequence[int], most: int, chunk: int = 0, total: int = 0) -> list[int]:
+    """Chunk of each item: a new one begins where the running size would exceed ``most``.
+
+    ``chunk`` and ``total`` are number and size of a chunk that is open before the first item.
+    """
+    out = []
     for s in sizes:
         if total and total + s > most:
             chunk, total = chunk + 1, 0
@@ -129,6 +134,41 @@ def size_chunks(sizes: Sequence[int], most: int) -> list[int]:
     return out
 
 
+def chunk_carry(sizes: Sequence[int], most: int) -> tuple[list[int], list[int], list[int], int, int]:
+    """What items do to the chunk open before them, so that ranges of items can be walked apart; see ``carried``.
+
+    (edges, chunks, opens) has a row for each place at which the first new chunk may begin, at most ``most`` + 1:
+    the running size there, the chunks begun from there on, and the size of the last. The last two values are
+    the chunks begun and the last size if nothing is open. Sizes are not negative.
+    """
+    s = np.asarray(sizes, np.int64)
+    n, ends = len(s), np.cumsum(s)
+    if n and s.min() < 0:
+        raise ValueError("a size below 0")
+    base = ends - s
+    # the item that begins the next chunk after one begun at each item; an item beyond ``most`` stands alone
+    later = np.searchsorted(ends, base + most, "right")
+    later = np.where((later < n) & (np.append(base, 0)[later] == base), later + 1, later).tolist()
+    chunks, opens = [0] * (n + 1), (ends[-1:].repeat(n) - base).tolist()
+    for i in range(n - 1, -1, -1):
+        chunks[i] = 1 + (chunks[later[i]] if later[i] < n else 0)
+        if later[i] < n:
+            opens[i] = opens[later[i]]
+    edges, at = np.unique(ends, return_index=True)
+    kept = int(np.searchsorted(edges, most)) + 1
+    at = at[:kept].tolist()
+    return edges[:kept].tolist(), [chunks[i] for i in at], [opens[i] for i in at], chunks[0] - 1 if n else 0, opens[0] if n else 0
+
+
+def carried(carry: tuple[Sequence[int], Sequence[int], Sequence[int], int, int], size: int, most: int, chunk: int, total: int) -> tuple[int, int]:
+    """(chunk, total) open behind items of ``carry`` and of ``size`` together, from those open before."""
+    edges, chunks, opens, fresh, left = carry
+    if not total:
+        return chunk + fresh, left
+    i = bisect_right(edges, most - total)
+    return (chunk + chunks[i], opens[i]) if i < len(edges) else (chunk, total + size)
+
+
 def flops(length: int) -> int:
     """Relative work of a sequence: linear plus quadratic (fixed model sizes)."""
     return length * 6 * 1_000_000 + length * length * 12 * 4096

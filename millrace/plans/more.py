@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as K
 from millrace.operators import advantages, filters, metrics, packing, splits, transforms
+from millrace.operators.grouped import map_groups
 from millrace.plans.base import S, TOK, r6, samples, sequences
 from millrace.plans.relational import E, events
 from millrace.runtime import table
@@ -146,18 +146,42 @@ def i11_shuffled_holdout(spark: SparkSession, d: str) -> DataFrame:
     return p.join(F.broadcast(n)).select("problem_id", F.when(F.col("position") < F.floor(F.col("n") / 10), "test").otherwise("train").alias("part"))
 
 
-@query()
-def j9_size_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of each run in chunks of at most 20,000 characters, in order of id."""
+def run_chunks(documents: DataFrame, most: int, width: int) -> DataFrame:
+    """(run_id, doc_id, chunk): the walk over each run in order of id, a new chunk where the size would exceed ``most``.
+
+    A hot run is cut into ranges of ``width`` ids, so that no task gets a third of all rows. Each range tells
+    what it does to the chunk open before it, a row a run and range; a walk over these rows gives every range
+    the number and size to go on from.
+    """
+    keys = ["run_id", "part"]
+    doc = documents.where("run_id is not null and n_chars is not null").select("run_id", "doc_id", "n_chars")
+    ranged = doc.withColumn("part", F.coalesce(F.floor(F.col("doc_id") / width), F.lit(2**62)))  # without an id: last
+
+    def told(key: tuple, part: list[dict]) -> list[tuple]:
+        sizes = [r["n_chars"] for r in part]
+        return [(*key, sum(sizes), *packing.chunk_carry(sizes, most))]
+
+    def walk(key: tuple, parts: list[dict]) -> list[tuple]:
+        out, chunk, total = [], 0, 0
+        for r in parts:
+            out.append((*key, r["part"], chunk, total))
+            chunk, total = packing.carried((r["edges"], r["chunks"], r["opens"], r["fresh"], r["left"]), r["size"], most, chunk, total)
+        return out
 
-    def run(key, part):
-        part = part.sort_values("doc_id")
-        return pd.DataFrame({"run_id": key[0], "doc_id": part["doc_id"], "chunk": packing.size_chunks(part["n_chars"].tolist(), 20_000)})
+    def number(key: tuple, part: list[dict]) -> list[tuple]:
+        chunks = packing.size_chunks([r["n_chars"] for r in part], most, part[0]["chunk"], part[0]["total"])
+        return [(key[0], r["doc_id"], c) for r, c in zip(part, chunks)]
 
-    doc = table(spark, d, "documents").where("run_id is not null and n_chars is not null").select("run_id", "doc_id", "n_chars")
-    # a hot run is cut into ranges of ids first, so that no task gets a third of all rows
-    cut = doc.withColumn("part", F.floor(F.col("doc_id") / 100_000))
-    return cut.groupBy("run_id", "part").applyInPandas(run, "run_id string, doc_id long, chunk int")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("n_chars")]
+    carry = map_groups(ranged, keys, order, told, "run_id string, part long, size long, edges array<long>, chunks array<long>, opens array<long>, fresh long, left long")
+    opened = map_groups(carry, ["run_id"], ["part"], walk, "run_id string, part long, chunk long, total long")
+    return map_groups(ranged.join(opened, keys), keys, order, number, "run_id string, doc_id long, chunk int")
+
+
+@query()
+def j9_size_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each run in chunks of at most 20,000 characters, in order of id; a longer document is a chunk of its own."""
+    return run_chunks(table(spark, d, "documents"), 20_000, 100_000)
 
 
 @query("""SELECT i AS rollout, (i + 1) % 20 = 0 OR (i + 1) % 64 = 0 OR i = 499 AS fires FROM (SELECT unnest(range(0, 500)) AS i)""")
