@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,9 +63,23 @@ def terms(text: F.Column) -> F.Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
 
 
-def bm25_top_k(documents: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+#: Scripts written without spaces between words, and runs of them.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+_TERM = rf"[{_UNSPACED}]+|[\p{{L}}\p{{N}}\p{{M}}&&[^{_UNSPACED}]]+"
+
+
+def all_terms(text: F.Column) -> F.Column:
+    """Words of letters, marks and digits of any script, in lower case; a run without spaces between words gives its pairs of neighbours, a single sign itself."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    return F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^[{_UNSPACED}]") & (F.length(t) > 1), pairs(t)).otherwise(F.array(t))))
+
+
+def bm25_top_k(documents: DataFrame, queries: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, terms: Callable[[F.Column], F.Column] = terms) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 over ``documents`` (doc_id, text) for ``queries`` (query_id, text).
 
+    ``terms`` splits a text: ``terms`` of this module into words of ASCII, ``all_terms`` into those of any script.
+
     Postings are restricted to the queries' terms before anything is joined; document lengths and counts
     cover all documents with a text.
     """

@@ -248,6 +248,14 @@ def h10_bm25(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
+@query()
+def h10_bm25_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same with words of any script, in queries, documents, lengths and frequencies."""
+    q = table(spark, d, "problems").where("problem_id % 100 = 0").select(F.col("problem_id").alias("query_id"), F.col("question").alias("text"))
+    out = retrieval.bm25_top_k(table(spark, d, "documents"), q, 5, terms=retrieval.all_terms)
+    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
+
+
 # -- splits -------------------------------------------------------------------------------
 
 
