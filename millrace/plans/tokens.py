@@ -192,6 +192,13 @@ def g16_small_vocabulary_entropy(spark: SparkSession, d: str) -> DataFrame:
     return x.select("vec_id", (F.round(K.entropy(F.col("l")), 5) + F.lit(0.0)).alias("entropy"))
 
 
+@query("""WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, max(v) + ln(sum(exp(v - m))) AS z FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM u) GROUP BY 1) SELECT u.vec_id, round(-sum(exp(v - z) * (v - z)), 5) + 0.0 AS entropy FROM u JOIN n USING (vec_id) GROUP BY 1""")
+def g16_small_vocabulary_entropy_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the whole embedding as the logits."""
+    x = table(spark, d, "embeddings").where("size(embedding) > 0").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("l"))
+    return x.select("vec_id", (F.round(K.entropy(F.col("l")), 5) + F.lit(0.0)).alias("entropy"))
+
+
 @query("""WITH s AS (SELECT sample_indices AS i, max(len(tokens)) AS n, max(response_lengths) AS r FROM train_data WHERE sample_indices IS NOT NULL AND tokens IS NOT NULL GROUP BY 1) SELECT i AS sample_index, CAST(n AS BIGINT) * 6 * 1000000 + CAST(n AS BIGINT) * n * 12 * 4096 AS flops FROM s""")
 def g17_flops(spark: SparkSession, d: str) -> DataFrame:
     """Training FLOPs of a sample: linear in its tokens for the weights, quadratic for attention (fixed model sizes)."""
