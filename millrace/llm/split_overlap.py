@@ -144,7 +144,7 @@ def fingerprint(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     parity = np.bincount((mixed % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
     sketch = np.packbits(parity.astype(np.uint8)).view(np.int64)
     n = len(words)
-    if n < 5:  # no edit is allowed: equal words are one class
+    if n < 4:  # no edit is allowed, nor by a text of one word more: equal words are one class
         return sketch, np.empty(0, np.int64)
     head = np.sort(mixed[np.lexsort((mixed, counts[s % BUCKETS] // (nth + 1)))[: allowed_edits(n) + 2]])
     i, j = np.triu_indices(len(head), 1)
