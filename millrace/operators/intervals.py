@@ -68,12 +68,13 @@ def paired_spans(events: DataFrame, key: str = "span_id") -> DataFrame:
     return both.select(key, F.coalesce("name", "end_name").alias("name"), F.coalesce("parent_span_id", "end_parent").alias("parent_span_id"), F.coalesce("sample_index", "end_sample").alias("sample_index"), "start_ts", "end_ts", state.alias("state"))
 
 
-def clipped_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def clipped_tree(spans: DataFrame) -> DataFrame:
     """Depth of each span and the end at which an open one is drawn, per sample.
 
     A span tree belongs to one sample and is small; a task holds one sample's spans. Depth counts known
-    ancestors; a cycle ends the walk. An open span ends at the least of its next sibling's start, its
-    nearest closed ancestor's end and the last time of the sample.
+    ancestors, however many; a cycle ends the walk. An open span ends at the least of its next sibling's
+    start, its nearest closed ancestor's end and the last time of the sample. A span without a sample
+    belongs to no tree: depth 0, and an open one ends at its own start.
     """
     def run(key: tuple, part: list[dict]) -> list[tuple]:
         spans_of = {r["span_id"]: r for r in part}
@@ -87,9 +88,10 @@ def clipped_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
             siblings.sort()
         out = []
         for r in part:
-            chain, at = [], r["parent_span_id"]
-            while at in spans_of and at != r["span_id"] and at not in chain and len(chain) < max_depth:
+            chain, seen, at = [], {r["span_id"]}, r["parent_span_id"]
+            while at in spans_of and at not in seen:
                 chain.append(at)
+                seen.add(at)
                 at = spans_of[at]["parent_span_id"]
             end = r["end_ts"]
             if r["state"] == "open":
@@ -102,5 +104,7 @@ def clipped_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
             out.append((key[0], r["span_id"], len(chain), end))
         return out
 
-    kept = spans.where("sample_index is not null").select("sample_index", "span_id", "parent_span_id", "start_ts", "end_ts", "state")
-    return map_groups(kept, ["sample_index"], ["span_id"], run, "sample_index long, span_id string, depth int, shown_end double")
+    kept = spans.select("sample_index", "span_id", "parent_span_id", "start_ts", "end_ts", "state")
+    trees = map_groups(kept.where("sample_index is not null"), ["sample_index"], ["span_id"], run, "sample_index long, span_id string, depth int, shown_end double")
+    alone = kept.where("sample_index is null").select(F.col("sample_index").cast("long"), "span_id", F.lit(0).alias("depth"), F.coalesce("end_ts", "start_ts").cast("double").alias("shown_end"))
+    return trees.unionByName(alone)
