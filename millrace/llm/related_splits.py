@@ -208,12 +208,38 @@ class ComponentTable:
     """Persisted (node, root, split) table; ``add`` takes one increment of records.
 
     ``records`` has (record_id, node_a, node_b), either node may be null. After ``add``, ``members``
-    has (record_id, root, split) of that increment and ``table`` all nodes seen so far.
+    has (record_id, root, split) of that increment and ``table`` all nodes seen so far. With ``path``, a
+    folder of the table's versions, a later job goes on from the last whole one; one job at a time may add.
     """
 
-    def __init__(self, spark: SparkSession, targets: Iterable[tuple[str, float]] = TARGETS):
-        self.spark, self.targets = spark, list(targets)
-        self.table = spark.createDataFrame([], "node long, root long, rows long, split string")
+    def __init__(self, spark: SparkSession, targets: Iterable[tuple[str, float]] = TARGETS, path: str | None = None):
+        self.spark, self.targets, self.path, self.version = spark, list(targets), path, 0
+        schema = "node long, root long, rows long, split string"
+        whole = self._versions() if path else []
+        if whole:
+            self.version = max(whole)
+            self.table = spark.read.schema(schema).parquet(self._at(self.version))
+        else:
+            self.table = spark.createDataFrame([], schema)
+
+    def _at(self, version: int) -> str:
+        return f"{self.path.rstrip('/')}/v{version:09d}"
+
+    def _versions(self) -> list[int]:
+        """Versions that were written to their end, on any file system."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return [int(n[1:]) for n in names if re.fullmatch(r"v\d{9}", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path.rstrip('/')}/{n}/_SUCCESS"))]
+
+    def _store(self, table: DataFrame) -> DataFrame:
+        """The next version of the table; without ``path`` a folder of this session."""
+        if not self.path:
+            return stored(table, "components")
+        self.version += 1
+        table.write.mode("overwrite").parquet(self._at(self.version))  # over a version that was broken off
+        return self.spark.read.schema(table.schema).parquet(self._at(self.version))
 
     def add(self, records: DataFrame) -> DataFrame:
         # a record without a source is a node of its own
@@ -239,7 +265,7 @@ class ComponentTable:
         roots = everything.groupBy("root").agg(F.sum("rows").alias("rows"), F.min("split").alias("least"), F.max("split").alias("most"))
         roots = cut(roots.select("root", "rows", F.when(F.col("least") != F.col("most"), QUARANTINE).otherwise(F.col("least")).alias("split")))
         splits = fill_splits(roots, self.targets).select("root", "split")
-        self.table = stored(everything.drop("split").join(splits, "root").select("node", "root", "rows", "split"), "components")
+        self.table = self._store(everything.drop("split").join(splits, "root").select("node", "root", "rows", "split"))
         return records.join(self.table.select(F.col("node").alias("a"), "root", "split"), "a").select("record_id", "root", "split")
 
 
