@@ -33,7 +33,10 @@ LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ϳ": "j", "ɡ": "g", "ɑ": "a",
+    "ο": "o", "ν": "v", "ϳ": "j", "ɡ": "g", "ɑ": "a", "Ϲ": "C", "ϲ": "c", "Ϳ": "J",
+    "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "ѵ": "v",
+    "Օ": "O", "օ": "o", "Տ": "S", "ո": "n", "ս": "u", "հ": "h", "յ": "j",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
 }
 #: Dashes and hyphens drawn like the hyphen-minus.
 HYPHENS = "\u2010\u2011"
@@ -254,14 +257,17 @@ def normalized(documents: DataFrame) -> DataFrame:
 def lookalikes(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): texts that differ in characters and have one form; texts without a visible character are none.
 
-    Copies are grouped by 128-bit hashes of the form; only groups with different texts are joined.
+    Copies are grouped by 128-bit hashes of the form. Only different texts of a form are paired, and rows are
+    attached to the pairs of texts, so equal texts of a hot form never meet.
     """
     visible = normalized(documents).where(r"form rlike '(?U)[^\\s\\p{C}]'")
     hashes = cut(visible.select("doc_id", F.md5(F.col("form").cast("binary")).alias("form"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(5), "text").alias("t2")))
-    mixed = hashes.groupBy("form").agg(F.min(F.struct("t1", "t2")).alias("lo"), F.max(F.struct("t1", "t2")).alias("hi")).where("lo <> hi").select("form")
-    several = hashes.join(mixed, "form")
-    a, b = (several.select("form", F.col("doc_id").alias(f"doc_id_{k}"), F.struct("t1", "t2").alias(f"t_{k}")) for k in "ab")
-    return a.join(b, "form").where("doc_id_a < doc_id_b and t_a <> t_b").select("doc_id_a", "doc_id_b")
+    texts = cut(hashes.groupBy("form", "t1", "t2").agg(F.lit(1).alias("one")).drop("one"))
+    a, b = (texts.select("form", F.col("t1").alias(f"{k}1"), F.col("t2").alias(f"{k}2")) for k in "ab")
+    pairs = a.join(b, "form").where("a1 < b1 or (a1 = b1 and a2 < b2)")
+    for k in "ab":
+        pairs = pairs.join(hashes.select("form", F.col("t1").alias(f"{k}1"), F.col("t2").alias(f"{k}2"), F.col("doc_id").alias(f"id_{k}")), ["form", f"{k}1", f"{k}2"])
+    return pairs.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
 
 
 def classes(documents: DataFrame) -> DataFrame:
