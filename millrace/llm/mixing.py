@@ -7,7 +7,7 @@ shuffle beyond the totals per source, and the same result at any partitioning.
 
 Defined cases: a source that is capped, tiny or absent reaches less than its share, which the report
 shows; a document with a null or unlisted source or without tokens is not emitted (it adds nothing);
-a null share counts as 0.
+a null share or size factor wants no tokens, a null number of repeats allows no copy.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ def rates(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """(mixture, source, target_share, max_repeats, wanted, tokens, rate) for each line of the targets."""
     total = F.sum("n_tokens")
     per_source = counts.groupBy("source").agg(total.alias("tokens"), F.count("*").alias("documents"))
-    everything = counts.agg(F.coalesce(total, F.lit(0)).alias("all_tokens"))
-    lines = targets.select("mixture", "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats", "size_factor")
-    # the total is one row
-    lines = lines.join(per_source, "source", "left").join(F.broadcast(everything))
-    wanted = F.col("target_share") * F.col("size_factor") * F.col("all_tokens")
+    all_tokens = counts.agg(F.coalesce(total, F.lit(0)).alias("n")).first()["n"]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)  # noqa: E731  (the least of a value and a null is the value)
+    lines = targets.select("mixture", "source", *map(zero, ("target_share", "max_repeats", "size_factor")))
+    lines = lines.join(per_source, "source", "left")
+    wanted = F.col("target_share") * F.col("size_factor") * F.lit(all_tokens)
     rate = F.when(F.col("tokens") > 0, F.least(wanted / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return lines.select("mixture", "source", "target_share", "max_repeats", wanted.alias("wanted"), F.coalesce("tokens", F.lit(0)).alias("tokens"), rate.alias("rate"))
 
