@@ -11,8 +11,8 @@ Defined cases: null and empty texts give an empty list; special tokens' strings
 
 from __future__ import annotations
 
+import ast
 import base64
-import importlib.util
 import os
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the public vocabularies are; ``None`` takes the installed package's folder.
+#: Folder of the public vocabularies on every executor: rank files, and a module that states the pattern as a literal.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 #: Pre-tokens of at most this many bytes are kept, at most so many of them.
 CACHE_BYTES, CACHE_ENTRIES = 64, 400_000
@@ -70,16 +70,23 @@ class RankQueue:
         return None
 
 
+def stated_pattern(folder: str) -> str:
+    """The literal that ``PATTERN`` is set to in the folder's module, which is read and not run."""
+    with open(os.path.join(folder, "__init__.py"), encoding="utf-8") as f:
+        tree = ast.parse(f.read())
+    for node in tree.body:
+        if isinstance(node, ast.Assign) and any(getattr(t, "id", None) == "PATTERN" for t in node.targets):
+            return ast.literal_eval(node.value)
+    raise ValueError(f"no PATTERN in {folder}")
+
+
 class ByteBpe:
     """Encoder of one vocabulary of ranks."""
 
     def __init__(self, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
         with open(os.path.join(folder, name), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        spec = importlib.util.spec_from_file_location("vocabulary_pattern", os.path.join(folder, "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        self.pattern = regex.compile(module.PATTERN)
+        self.pattern = regex.compile(stated_pattern(folder))
         self.byte_ids = [self.ranks[bytes([i])] for i in range(256)]
         # (id, id) -> id of the merged token, filled as pairs are met
         self.names = {i: t for t, i in self.ranks.items()}
