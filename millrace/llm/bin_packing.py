@@ -2,9 +2,10 @@
 
 Method: items are spread over partitions of bounded size; each partition packs its items by best-fit
 decreasing and certifies its bin count with lower bounds from dual feasible functions. Bins of
-partitions that hold more bins than their bound are opened where they have gaps; the items in them are
-exchanged (spread anew over fewer partitions) and packed again, and the rounds end when the bound is
-met, nothing is left to gain or ``max_rounds`` is reached.
+partitions that hold more bins than their bound are opened where they have gaps; they are exchanged as
+a whole (spread anew over fewer partitions) and their items packed again, and a partition keeps its old
+bins unless the new ones are fewer. The rounds end when nothing is open any more or a round saves less
+than ``LEAST_SAVED`` of the bins it exchanged.
 
 Defined cases: a null length is no item; a null or negative response length trains nothing; an item of length 0 is placed like any other;
 an item longer than the capacity is divided into full pieces and one rest; an empty table gives no bins.
@@ -23,6 +24,8 @@ from millrace.runtime import bounded_rows, cut
 
 #: Items one task packs at once; bounds its memory at any size of the table.
 ITEMS_PER_PART = 60_000
+#: Share of the exchanged bins that a round must save for another one.
+LEAST_SAVED = 0.001
 PACKED = "setting string, capacity int, item long, piece int, start long, length int, bin string, round int, gap boolean"
 
 
@@ -80,14 +83,19 @@ def _pack_part(part: pd.DataFrame, prefix: str, at: int) -> pd.DataFrame:
     part = part.sort_values(["item", "piece"], kind="stable").reset_index(drop=True)
     lengths = part["length"].to_numpy(np.int64)
     bins = best_fit_decreasing(lengths, capacity)
-    n_bins = int(bins.max()) + 1
+    names = np.array([f"{prefix}-{b}" for b in range(int(bins.max()) + 1)], dtype=object)
+    made = at
+    if at:  # the old bins stay unless the new ones are fewer
+        old, old_names = pd.factorize(part["bin"])
+        if len(old_names) <= len(names):
+            bins, names, made = old, old_names.to_numpy(object), part["round"]
+    n_bins = len(names)
     gap = n_bins > lower_bound(*np.unique(lengths, return_counts=True), capacity)
     fill = np.bincount(bins, weights=lengths, minlength=n_bins)
     # bins with room are opened: in a part above its bound all that are not nearly full, else those whose
     # space only items of other parts can use
     open_again = fill < capacity * (0.995 if gap else 0.9)
-    names = np.array([f"{prefix}-{b}" for b in range(n_bins)], dtype=object)
-    return part.assign(bin=names[bins], round=at, gap=open_again[bins])[[c.split()[0] for c in PACKED.split(", ")]]
+    return part.assign(bin=names[bins], round=made, gap=open_again[bins])[[c.split()[0] for c in PACKED.split(", ")]]
 
 
 def _packer(at: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -113,31 +121,31 @@ def pieces(items: DataFrame, capacities: DataFrame) -> DataFrame:
     return cuts.select("setting", "capacity", "item", "piece", start, F.least(F.col("capacity").cast("long"), F.col("length") - F.col("piece").cast("long") * F.col("capacity")).cast("int").alias("length"))
 
 
-def pack(items: DataFrame, capacities: DataFrame, items_per_part: int = ITEMS_PER_PART, max_rounds: int = 3) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
     """(setting, capacity, item, piece, start, length, bin, round): a container for every piece.
 
-    ``items`` has (item long, unique; length).
+    ``items`` has (item long, unique; length). ``round`` is the round that made the bin.
     """
-    todo = cut(pieces(items, capacities))
-    done = None
-    for at in range(max_rounds):
-        counts = {r["setting"]: r["n"] for r in todo.groupBy("setting").agg(F.count("*").alias("n")).collect()}
-        if not counts:
+    todo = cut(pieces(items, capacities)).withColumn("bin", F.lit(None).cast("string")).withColumn("round", F.lit(0))
+    done, at = None, 0
+    while True:
+        before = {r["setting"]: r for r in todo.groupBy("setting").agg(F.count("*").alias("n"), F.count_distinct("bin").alias("bins")).collect()}
+        if not before:
             break
-        spread = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(max(1, -(-n // items_per_part))))])
-        parted = todo.withColumn("part", F.pmod(F.xxhash64("item", "piece", F.lit(at)), F.element_at(spread, F.col("setting"))).cast("int"))
-        last = at == max_rounds - 1
-
+        spread = F.create_map(*[x for s, r in before.items() for x in (F.lit(s), F.lit(max(1, -(-r["n"] // items_per_part))))])
+        moved = F.xxhash64("item", "piece") if at == 0 else F.xxhash64("bin", F.lit(at))  # whole bins are exchanged
+        parted = todo.withColumn("part", F.pmod(moved, F.element_at(spread, F.col("setting"))).cast("int"))
         packed = cut(parted.groupBy("setting", "part").applyInPandas(_packer(at), PACKED))
-        single = [s for s, n in counts.items() if n <= items_per_part]
-        # what was packed in one part has no other part to exchange with
-        again = F.col("gap") & ~F.col("setting").isin(single) if single else F.col("gap")
-        again = F.lit(False) if last else again
+        if at:
+            after = {r["setting"]: r["bins"] for r in packed.groupBy("setting").agg(F.count_distinct("bin").alias("bins")).collect()}
+            settled = [s for s, r in before.items() if r["bins"] - after[s] <= LEAST_SAVED * r["bins"]]
+            again = F.col("gap") & ~F.col("setting").isin(settled) if settled else F.col("gap")
+        else:
+            again = F.col("gap")
         kept = packed.where(~again).drop("gap")
         done = kept if done is None else done.unionByName(kept)
-        todo = packed.where(again).select("setting", "capacity", "item", "piece", "start", "length")
-        if last:
-            break
+        todo = packed.where(again).drop("gap")
+        at += 1
     if done is None:
         return items.sparkSession.createDataFrame([], PACKED).drop("gap")
     return done
