@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _with("problems")(related_splits.same_sources),
     "p1_splits": _with("problems")(related_splits.split_records),
     "p1_increments": _with("problems")(lambda problems: related_splits.split_records(problems, increments=3)),
+    "p1_members": _with("problems")(related_splits.source_members),
+    "p1_two_jobs": _with("problems")(related_splits.split_in_jobs),
     "p2_micro_batches": _with("train_data", "pack_limits")(bin_packing.micro_batches),
     "p2_certificate": _with("train_data", "pack_limits")(bin_packing.certificate),
     "p3_percentiles": _with("trace_events")(quantile_digest.engine_percentiles),

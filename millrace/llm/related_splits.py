@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from millrace.runtime import bounded_rows, cut, stored
+from millrace.runtime import bounded_rows, cut, shared_dir, stored
 
 TARGETS = (("train", 0.8), ("val", 0.1), ("test", 0.1))
 QUARANTINE = "quarantine"
@@ -241,7 +242,8 @@ class ComponentTable:
         table.write.mode("overwrite").parquet(self._at(self.version))  # over a version that was broken off
         return self.spark.read.schema(table.schema).parquet(self._at(self.version))
 
-    def add(self, records: DataFrame) -> DataFrame:
+    def joined(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(record_id, a, b) of an increment, and (node, root, rows, split) of all nodes with it; splits are those held so far."""
         # a record without a source is a node of its own
         records = records.select("record_id", F.coalesce("node_a", "node_b", F.xxhash64(F.lit("record"), "record_id")).alias("a"), F.coalesce("node_b", "node_a", F.xxhash64(F.lit("record"), "record_id")).alias("b"))
         linked = cut(records.groupBy("a", "b").agg(F.count("*").alias("rows")))
@@ -260,7 +262,10 @@ class ComponentTable:
         # rows are counted at the node that comes first of a record
         counted = linked.groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("more"))
         everything = everything.join(counted, "node", "left").select("node", "root", (F.col("rows") + F.coalesce("more", F.lit(0))).alias("rows"), "split")
-        everything = cut(everything)
+        return records, cut(everything)
+
+    def add(self, records: DataFrame) -> DataFrame:
+        records, everything = self.joined(records)
         # splits that differ within one component: conflicting merge
         roots = everything.groupBy("root").agg(F.sum("rows").alias("rows"), F.min("split").alias("least"), F.max("split").alias("most"))
         roots = cut(roots.select("root", "rows", F.when(F.col("least") != F.col("most"), QUARANTINE).otherwise(F.col("least")).alias("split")))
@@ -278,37 +283,65 @@ def as_records(spelled: DataFrame, keys: DataFrame) -> DataFrame:
 
 def split_records(problems: DataFrame, increments: int = 1) -> DataFrame:
     """(problem_id, component, split); with more than one increment, rows come in order of ``ingested_at``."""
-    spark = problems.sparkSession
     spelled = record_spellings(problems)
     records = cut(as_records(spelled, cut(spelling_keys(spelled))))
-    store = ComponentTable(spark)
+    store = ComponentTable(problems.sparkSession)
     if increments == 1:
-        parts = [records]
-    else:
-        seconds = F.unix_micros(F.col("ingested_at").cast("timestamp"))
-        lo, hi = records.agg(F.min(seconds), F.max(seconds)).first()
-        width = max(1, ((hi or 0) - (lo or 0)) // increments + 1)
-        part = F.coalesce(F.least(((seconds - F.lit(lo or 0)) / width).cast("int"), F.lit(increments - 1)), F.lit(increments - 1))
-        parts = [records.where(part == i) for i in range(increments)]
-    out = [store.add(p) for p in parts]
-    if increments > 1:  # what a record got when it came; the table tells what its component has now
-        done = None
-        for i, o in enumerate(out):
-            one = o.withColumn("increment", F.lit(i))
-            done = one if done is None else done.unionByName(one)
-        nodes = store.table.select(F.col("node").alias("root"), F.col("root").alias("root_now"), F.col("split").alias("split_now"))
-        return done.join(nodes, "root").select(F.col("record_id").alias("problem_id"), F.format_string("%016x", "root_now").alias("component"), "increment", F.col("split").alias("split_first"), "split_now")
-    return out[0].select(F.col("record_id").alias("problem_id"), F.format_string("%016x", "root").alias("component"), "split")
+        out = store.add(records)
+        return out.select(F.col("record_id").alias("problem_id"), F.format_string("%016x", "root").alias("component"), "split")
+    return first_and_now([store.add(part) for part in arrivals(records, increments)], store)
 
 
-def same_sources(problems: DataFrame) -> DataFrame:
-    """(source_a, source_b): different spellings of one source, the smaller by code point first."""
+def arrivals(records: DataFrame, increments: int) -> list[DataFrame]:
+    """Records in spans of ``ingested_at`` of equal length; those without a time come last."""
+    seconds = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    lo, hi = records.agg(F.min(seconds), F.max(seconds)).first()
+    width = max(1, ((hi or 0) - (lo or 0)) // increments + 1)
+    part = F.coalesce(F.least(((seconds - F.lit(lo or 0)) / width).cast("int"), F.lit(increments - 1)), F.lit(increments - 1))
+    return [records.where(part == i) for i in range(increments)]
+
+
+def first_and_now(out: list[DataFrame], store: ComponentTable) -> DataFrame:
+    """(problem_id, component, increment, split_first, split_now): what a record got when it came, and what its component has now."""
+    done = None
+    for i, o in enumerate(out):
+        one = o.withColumn("increment", F.lit(i))
+        done = one if done is None else done.unionByName(one)
+    nodes = store.table.select(F.col("node").alias("root"), F.col("root").alias("root_now"), F.col("split").alias("split_now"))
+    return done.join(nodes, "root").select(F.col("record_id").alias("problem_id"), F.format_string("%016x", "root_now").alias("component"), "increment", F.col("split").alias("split_first"), "split_now")
+
+
+def split_in_jobs(problems: DataFrame) -> DataFrame:
+    """``first_and_now`` of two jobs: the second opens the table that the first left in a folder, and adds the later half."""
+    spark = problems.sparkSession
+    spelled = record_spellings(problems)
+    records = cut(as_records(spelled, cut(spelling_keys(spelled))))
+    path = f"{shared_dir(spark).rstrip('/')}/component-table-{uuid.uuid4().hex}"
+    early, late = arrivals(records, 2)
+    first = cut(ComponentTable(spark, path=path).add(early))
+    later = ComponentTable(spark, path=path)
+    return first_and_now([first, later.add(late)], later)
+
+
+def named_sources(problems: DataFrame) -> DataFrame:
+    """(source, root): every spelling with the component that denotes its source; splits are not needed for it."""
     spelled = record_spellings(problems)
     keys = cut(spelling_keys(spelled))
-    store = ComponentTable(problems.sparkSession)
     both = spelled.select("spelling_a", "spelling_b").distinct()
     both = both.withColumn("problem_id", F.xxhash64("spelling_a", "spelling_b")).withColumn("ingested_at", F.lit(None).cast("timestamp"))
-    store.add(as_records(both, keys).where("node_a is not null or node_b is not null"))
-    named = cut(keys.join(store.table.select("node", "root"), "node").select("spelling", "root"))
-    a, b = named.withColumnRenamed("spelling", "source_a"), named.withColumnRenamed("spelling", "source_b")
+    _, nodes = ComponentTable(problems.sparkSession).joined(as_records(both, keys).where("node_a is not null or node_b is not null"))
+    return cut(keys.join(nodes.select("node", "root"), "node").select(F.col("spelling").alias("source"), "root"))
+
+
+def source_members(problems: DataFrame) -> DataFrame:
+    """(source, component, spellings): one row per spelling, whose class may be of any size."""
+    named = named_sources(problems)
+    sizes = named.groupBy("root").agg(F.count("*").alias("spellings"))
+    return named.join(sizes, "root").select("source", F.format_string("%016x", "root").alias("component"), "spellings")
+
+
+def same_sources(problems: DataFrame) -> DataFrame:
+    """(source_a, source_b): different spellings of one source, the smaller by code point first; all pairs, as the query asks."""
+    named = named_sources(problems)
+    a, b = named.withColumnRenamed("source", "source_a"), named.withColumnRenamed("source", "source_b")
     return a.join(b, "root").where("source_a < source_b").select("source_a", "source_b")
