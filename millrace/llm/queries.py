@@ -34,8 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_collisions": _with("problems", "raw_records")(format_dedup.collided),
     "p5_found": _with("problems")(split_overlap.found),
     "p5_report": _with("problems")(split_overlap.report),
-    "p7_found": _with("samples", "train_data", "turns")(response_defects.found),
-    "p7_defects": _with("samples", "train_data", "turns")(response_defects.labelled),
+    "p7_found": _with("samples", "train_data", "turns", "documents")(response_defects.found),
+    "p7_defects": _with("samples", "train_data", "turns", "documents")(response_defects.labelled),
     "p8_ids": _with("documents")(tokenizer.encoded),
     "p8_totals": _with("documents")(tokenizer.token_totals),
     "p9_mixture": _with("documents", "mixture_targets")(mixing.mix),

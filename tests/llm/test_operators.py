@@ -372,13 +372,50 @@ def test_defects_of_nothing(spark):
     assert response_defects.found(*e).count() == 0
 
 
-def test_no_posterior_lies_near_a_cutoff():
-    for defect, functions in response_defects.FUNCTIONS.items():
-        m = len(functions)
-        patterns = np.arange(1 << m)
-        counts = np.where(patterns == 0, 9000.0, 60.0)
-        post = response_defects.fit(patterns, counts, functions)
-        assert (np.abs(post - response_defects.CUTOFFS[defect]) > 0.05).all()
+def test_cutoffs_are_validated_on_planted_defects():
+    assert response_defects.best_cutoff(np.array([0.9, 0.8, 1.0]), np.array([0.1, 0.0])) == pytest.approx(0.1 + 0.05 * 0.7)
+    assert response_defects.best_cutoff(np.array([0.9, 0.8, 0.2]), np.array([0.3, 0.3, 0.3])) == pytest.approx(0.3 + 0.05 * 0.5)
+    assert response_defects.best_cutoff(np.empty(0), np.array([0.3])) == 0.5
+    pairs = [("How heavy is the town clock and what would it take to lift it?", f"First, assume that it holds {i} gears. Each of the gears weighs close to 40 grams. So the answer is about {i * 7}.") for i in range(60)]
+    cases = response_defects.planted(pairs, ["en"] * 60)
+    texts = response_defects.TextModels()
+    models = {d: response_defects.fit(np.array([0]), np.array([1000.0]), f) for d, f in response_defects.FUNCTIONS.items()}
+    cutoffs = response_defects.validated_cutoffs(pairs, texts, models)
+    for d in ("empty", "refusal", "copy", "truncated"):
+        votes = np.array(response_defects.pair_votes([c[0] for c in cases[d]], [c[1] for c in cases[d]], texts)) | np.array([c[2] for c in cases[d]])
+        assert (models[d].posterior(response_defects.pattern_of(votes, d)) >= cutoffs[d]).mean() > 0.98
+
+
+def test_the_label_model_learns_from_the_data():
+    functions = (("a", 0.8, 0.01), ("b", 0.8, 0.01))
+    agreeing = response_defects.fit(np.array([0, 1, 2, 3]), np.array([900.0, 2.0, 2.0, 96.0]), functions)
+    noisy = response_defects.fit(np.array([0, 1, 2, 3]), np.array([700.0, 200.0, 2.0, 98.0]), functions)
+    alone = np.array([1])
+    assert agreeing.posterior(np.array([3]))[0] > 0.99 and noisy.posterior(np.array([3]))[0] > 0.9
+    assert noisy.false[0] > 5 * agreeing.false[0] and noisy.posterior(alone)[0] < 0.5
+    assert response_defects.fit(np.array([0]), np.array([0.0]), functions).prior == response_defects.PRIOR
+
+
+def test_language_model_on_held_out_documents(spark, sf):
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    model = response_defects.language_model(response_defects.labelled_texts(docs.where("doc_id % 3 <> 0")))
+    rest = [(r["lang"][:2], r["text"]) for r in docs.where("doc_id % 3 = 0 and length(text) > 40 and lang <> 'und'").collect()]
+    named = response_defects.TextModels.named(model, [t for _, t in rest])
+    assert sum(a == b for (a, _), b in zip(rest, named)) > 0.97 * len(rest)
+    assert response_defects.language_model(response_defects.labelled_texts(None)) is None and response_defects.TextModels.named(None, ["x"]) == [None]
+    best, margin, letters = model.score(["", "12 34", "x" * 400_000])
+    assert best[0] == best[1] == -1 and letters.tolist() == [0, 0, 400_000] and (margin[:2] == 0).all()
+
+
+def test_a_language_told_by_the_model_alone(spark):
+    docs = [("en", "How far does the wagon travel and what does it carry through the old town each day?"), ("de", "Welche Strecke ergeben die schweren Steine, wenn man sie aneinander legt und zählt?")] * 40
+    documents = spark.createDataFrame([(i, lang, text) for i, (lang, text) in enumerate(docs)], "doc_id long, lang string, text string")
+    cases = [("Welche Strecke ergeben schwere Steine?", "How far the wagon does travel: 40 old town days."), ("Welche Strecke ergeben schwere Steine?", "Die schweren Steine ergeben 40 Strecken.")]
+    sound = [("Welche Strecke ergeben schwere Steine?", f"Die schweren Steine ergeben {i} Strecken, wenn man sie zählt.") for i in range(200)]
+    rows = [(i, f"s{i}", "completed", None, p, r) for i, (p, r) in enumerate(cases + sound)]
+    train, turns = spark.createDataFrame([], TRAIN), spark.createDataFrame([], TURNS)
+    got = response_defects.found(spark.createDataFrame(rows, SAMPLES), train, turns, documents).collect()
+    assert {(r["sample_index"], r["defect"]) for r in got} == {(0, "wrong_language")}
 
 
 # -- 8 ------------------------------------------------------------------------------------
