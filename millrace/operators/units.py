@@ -5,15 +5,17 @@ unit from the first field that states one: ``answer_value``, ``answer_unit``, ``
 or the unit that ``question`` asks for. Stated units convert directly.
 
 Where no field states a unit, a log-scale mixture assigns one: per dimension, the logarithms of values in
-common units follow one normal distribution, so a unit shows as a component offset by the logarithm of
-its known factor. Weights, mean and spread are fitted by expectation-maximization on a histogram of the
-logarithms (a bounded table: dimensions x cells); the unit with the highest posterior is assigned, and
-values below ``SURE`` are flagged uncertain. The dimension of such a row comes from how its question asks,
-learned from the rows with stated units.
+common units follow one density, so a unit shows as a component offset by the logarithm of its known
+factor (of a unit with a shift, by the logarithm of the shifted value, with the change of scale that
+goes with it). Weights and density are fitted by expectation-maximization on histograms of the
+logarithms (bounded tables: dimensions x signs x cells), starting from the stated rows; the density is a
+smoothed histogram, since a normal one is far too sure where values spread evenly over many decades.
+The unit with the highest posterior is assigned, and values below ``SURE`` are flagged uncertain.
+The dimension of such a row comes from how its question asks, learned from the rows with stated units.
 
 Defined cases: a row without an id is no record; null or unreadable values and non-finite results give no number (status ``no_value``); a
-count or ratio has status ``no_unit``; a zero or negative value cannot be put on a log scale and is only
-converted where the unit is stated; conflicting units: the field nearest the value holds.
+count or ratio has status ``no_unit``; a zero cannot be put on a log scale, and a negative value only in a unit with
+a shift: else they are only converted where the unit is stated; conflicting units: the field nearest the value holds.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.runtime import bounded_rows, cut
@@ -256,30 +258,81 @@ def parsed(records: DataFrame) -> DataFrame:
     return records.where("id is not null").select("id", "question", "answer_value", "answer_unit", "specified_answer_unit").mapInPandas(run, PARSED)
 
 
-def fit_mixture(cells: np.ndarray, counts: np.ndarray, offsets: np.ndarray, known: tuple[float, float, float], rounds: int = 100) -> tuple[np.ndarray, float, float]:
-    """Weights of the units, mean and spread of log10 of common values, by EM over a histogram.
+def common_logs(values: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of each value in common units for each unit, and the logarithm of the density's change of scale; -inf where there is none."""
+    common = values[:, None] * factors[None, :] + shifts[None, :]
+    ok = common > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.where(ok, np.log10(np.where(ok, common, 1)), 0)
+        scale = np.where(ok, np.log(np.abs(values[:, None] * factors[None, :]) / np.where(ok, common, 1)), -np.inf)
+    return x, scale
 
-    ``known`` has (n, sum, sum of squares) of the values whose unit is stated; they anchor the mean.
+
+def smoothed(hist: np.ndarray) -> np.ndarray:
+    """A density over cells from their counts: a normal kernel of a width that shrinks with the counts, and a wide normal floor."""
+    n, at = hist.sum(), np.arange(len(hist))
+    mean = (hist * at).sum() / n
+    sd = max(math.sqrt((hist * (at - mean) ** 2).sum() / n), 1.0)
+    width = min(max(0.9 * sd * n**-0.2, 1.0), float(CELLS))
+    kernel = np.exp(-0.5 * (np.arange(-math.ceil(4 * width), math.ceil(4 * width) + 1) / width) ** 2)
+    body = np.convolve(hist, kernel / kernel.sum(), "same") if len(hist) >= len(kernel) else np.convolve(hist, kernel / kernel.sum())[len(kernel) // 2 :][: len(hist)]
+    floor = np.exp(-0.5 * ((at - mean) / (2 * sd)) ** 2)
+    return 0.99 * body / body.sum() + 0.01 * floor / floor.sum()
+
+
+def fit_mixture(values: np.ndarray, counts: np.ndarray, factors: np.ndarray, shifts: np.ndarray, known: dict[int, float], stated: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, int, np.ndarray]:
+    """Weights of the units, first cell and density of log10 of common values, by EM over a histogram of values.
+
+    ``known`` has the cells of the values whose unit is stated, which anchor the density. ``stated`` counts the stated
+    rows of each unit; they weigh as much as the rows without a unit, which alone hardly tell units apart where they spread far.
     """
-    n0, s0, q0 = known
-    mean = s0 / n0 if n0 else float(np.average(cells, weights=counts)) + float(np.median(offsets))
-    var = max(q0 / n0 - mean**2, 0.01) if n0 else 4.0
-    weight = np.full(len(offsets), 1 / len(offsets))
-    x = cells[:, None] + offsets[None, :]
-    for _ in range(rounds):
-        log = np.log(np.maximum(weight, 1e-12)) - (x - mean) ** 2 / (2 * var)
-        post = np.exp(log - log.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
+    x, scale = common_logs(values, factors, shifts)
+    usable = np.isfinite(scale).any(1)
+    x, scale, counts = x[usable], np.exp(scale[usable]), counts[usable]
+    cell = np.floor(x * CELLS).astype(np.int64)
+    ends = [*known, *cell[scale > 0].tolist()] or [0]
+    low, size = min(ends) - CELLS, max(ends) - min(ends) + 2 * CELLS + 1
+    at = np.clip(cell - low, 0, size - 1)
+    anchor = np.zeros(size)
+    for c, n in known.items():
+        anchor[c - low] += n
+    pseudo = (stated + 1) / (stated + 1).sum() * max(len(factors), counts.sum())
+    weight = pseudo / pseudo.sum()
+    # without stated rows every unit is as likely at first
+    first = np.bincount(at.ravel(), weights=((scale > 0) / np.maximum((scale > 0).sum(1, keepdims=True), 1) * counts[:, None]).ravel(), minlength=size) if len(x) else np.zeros(size)
+    density = smoothed(anchor if anchor.any() else first if first.any() else np.ones(size))
+    for _ in range(rounds if len(x) else 0):
+        post = weight * scale * density[at]
+        post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
         mass = post * counts[:, None]
-        new = (mass.sum(0) + 1) / (counts.sum() + len(offsets))
-        n = n0 + mass.sum()
-        new_mean = (s0 + (mass * x).sum()) / n
-        var = max((q0 + (mass * x**2).sum()) / n - new_mean**2, 0.01)
-        done = abs(new_mean - mean) < 1e-9 and np.abs(new - weight).max() < 1e-9
-        weight, mean = new, new_mean
+        new = (mass.sum(0) + pseudo) / (mass.sum() + pseudo.sum())
+        density = smoothed(anchor + np.bincount(at.ravel(), weights=mass.ravel(), minlength=size))
+        done = np.abs(new - weight).max() < 1e-9
+        weight = new
         if done:
             break
-    return weight, mean, math.sqrt(var)
+    return weight, low, density
+
+
+def unit_table(spark: SparkSession, defs: dict) -> DataFrame:
+    """(unit, dimension, common_unit, factor, shift) of the definitions, a checked number of rows."""
+    rows = [(n, r["dimension"], r["common_unit"], float(r["factor"]), float(r["shift"])) for n, r in defs.items()]
+    return F.broadcast(spark.createDataFrame(rows, "unit string, dimension string, common_unit string, factor double, shift double"))
+
+
+def unit_rows(unit_defs: DataFrame) -> dict:
+    """The definitions by unit; without a factor a unit is none, without a shift it has none."""
+    rows = bounded_rows(unit_defs.where("unit_name is not null and factor is not null").withColumn("shift", F.coalesce("shift", F.lit(0.0))), 10_000, "units")
+    return {r["unit_name"]: r for r in rows}
+
+
+QUANTITY = "id long, dimension string, common_unit string, common_value double, unit string, stated_in string, status string, posterior double"
+
+
+def converted(read: DataFrame, defs: dict) -> DataFrame:
+    """``QUANTITY`` rows of those that state a unit; they need no model."""
+    common = F.col("value") * F.col("factor") + F.col("shift")
+    return read.join(unit_table(read.sparkSession, defs), "unit").select("id", "dimension", "common_unit", common.alias("common_value"), "unit", "stated_in", F.lit("stated").alias("status"), F.lit(1.0).alias("posterior"))
 
 
 def common_quantities(records: DataFrame, unit_defs: DataFrame) -> DataFrame:
@@ -287,46 +340,55 @@ def common_quantities(records: DataFrame, unit_defs: DataFrame) -> DataFrame:
 
     status: ``stated``, ``assigned`` (posterior at least ``SURE``), ``uncertain``, ``no_unit``, ``no_value``.
     """
-    defs = {r["unit_name"]: r for r in bounded_rows(unit_defs.where("unit_name is not null"), 10_000, "units")}
+    defs = unit_rows(unit_defs)
     read = cut(parsed(records))
-    spark = records.sparkSession
-    table = spark.createDataFrame([(n, r["dimension"], r["common_unit"], float(r["factor"]), float(r["shift"])) for n, r in defs.items()], "unit string, dimension string, common_unit string, factor double, shift double")
-    stated = read.join(F.broadcast(table), "unit")
-    converted = F.col("value") * F.col("factor") + F.col("shift")
+    return converted(read, defs).unionByName(assigned(read, defs))
+
+
+def assigned(read: DataFrame, defs: dict) -> DataFrame:
+    """``QUANTITY`` rows of those that state no unit, by the mixture of their dimension."""
+    spark = read.sparkSession
+    direct = read.join(unit_table(spark, defs), "unit")
+    common = F.col("value") * F.col("factor") + F.col("shift")
     # how each dimension is asked for: the most frequent dimension of a phrase, if it is clear
-    asked = stated.groupBy("phrase", "dimension").agg(F.count("*").alias("n"))
+    asked = direct.groupBy("phrase", "dimension").agg(F.count("*").alias("n"))
     asked = asked.groupBy("phrase").agg(F.max_by("dimension", F.struct("n", "dimension")).alias("guess"), F.max("n").alias("most"), F.sum("n").alias("all"))
     asked = asked.where("most >= 0.8 * all and most >= 5 and phrase <> ''").select("phrase", "guess")
-    missing = read.where("unit is null").join(asked, "phrase", "left")
-    missing = cut(missing)
-    positive = missing.where("value > 0 and guess is not null")
-    cell = F.floor(F.log10("value") * CELLS)
+    missing = cut(read.where("unit is null").join(asked, "phrase", "left"))
+    usable = missing.where("value <> 0 and value <> 'NaN' and abs(value) <> 'Infinity' and guess is not null")
+    cell = F.floor(F.log10(F.abs("value")) * CELLS)
     cells: dict[str, list[tuple[float, int]]] = {}
-    for r in bounded_rows(positive.groupBy("guess", cell.alias("cell")).agg(F.count("*").alias("n")), 1_000_000, "cells of logarithms"):
-        cells.setdefault(r["guess"], []).append(((r["cell"] + 0.5) / CELLS, r["n"]))
-    logged = stated.where(converted > 0).withColumn("x", F.log10(converted))
-    anchors = {r["dimension"]: (float(r["n"]), r["s"], r["q"]) for r in bounded_rows(logged.groupBy("dimension").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") ** 2).alias("q")), 10_000, "dimensions")}
+    for r in bounded_rows(usable.groupBy("guess", F.signum("value").alias("sign"), cell.alias("cell")).agg(F.count("*").alias("n")), 1_000_000, "cells of logarithms"):
+        cells.setdefault(r["guess"], []).append((r["sign"] * 10 ** ((r["cell"] + 0.5) / CELLS), r["n"]))
+    logged = direct.where(common > 0).groupBy("dimension", F.floor(F.log10(common) * CELLS).alias("cell")).agg(F.count("*").alias("n"))
+    anchors: dict[str, dict[int, float]] = {}
+    for r in bounded_rows(logged, 1_000_000, "cells of stated values"):
+        anchors.setdefault(r["dimension"], {})[r["cell"]] = float(r["n"])
+    often = {r["unit"]: r["n"] for r in bounded_rows(direct.groupBy("unit").agg(F.count("*").alias("n")), 10_000, "units")}
     models = []
     for dimension, rows in sorted(cells.items()):
         units = [(n, r) for n, r in sorted(defs.items()) if r["dimension"] == dimension]
-        offsets = np.log10([float(r["factor"]) for _, r in units])
-        weight, mean, spread = fit_mixture(np.array([c for c, _ in rows]), np.array([n for _, n in rows], float), offsets, anchors.get(dimension, (0.0, 0.0, 0.0)))
-        models += [(dimension, n, r["common_unit"], float(r["factor"]), float(r["shift"]), float(o), float(w), float(mean), float(spread)) for (n, r), o, w in zip(units, offsets, weight)]
-    shape = "guess string, unit string, common_unit string, factor double, shift double, offset double, weight double, mean double, spread double"
-    model = spark.createDataFrame(models, shape)
-    per_dimension = model.groupBy("guess").agg(F.collect_list(F.struct("unit", "common_unit", "factor", "shift", "offset", "weight", "mean", "spread")).alias("units"))
-    x = F.log10("value")
-    density = lambda u: u["weight"] * F.exp(-F.pow(x + u["offset"] - u["mean"], 2) / (2 * u["spread"] * u["spread"]))
-    scored = positive.join(F.broadcast(per_dimension), "guess").withColumn("d", F.transform("units", lambda u: F.struct(density(u).alias("d"), u.alias("u"))))
-    scored = scored.withColumn("best", F.array_max(F.transform("d", lambda p: F.struct(p["d"].alias("d"), p["u"]["unit"].alias("unit"), p["u"]["common_unit"].alias("common_unit"), p["u"]["factor"].alias("factor"), p["u"]["shift"].alias("shift")))))
+        factors, shifts = (np.array([float(r[k]) for _, r in units]) for k in ("factor", "shift"))
+        weight, low, density = fit_mixture(np.array([v for v, _ in rows]), np.array([n for _, n in rows], float), factors, shifts, anchors.get(dimension, {}), np.array([often.get(n, 0) for n, _ in units], float))
+        models.append((dimension, [(n, r["common_unit"], float(r["factor"]), float(r["shift"]), float(w)) for (n, r), w in zip(units, weight)], low, density.tolist()))
+    # a row per dimension, of at most 10,000 units in all and cells of the range of doubles
+    model = spark.createDataFrame(models, "guess string, units array<struct<unit: string, common_unit: string, factor: double, shift: double, weight: double>>, low long, density array<double>")
+
+    def scored_unit(u: F.Column) -> F.Column:
+        c = F.col("value") * u["factor"] + u["shift"]
+        at = (F.floor(F.log10(c) * CELLS) - F.col("low")).cast("int")
+        density = u["weight"] * F.abs(F.col("value") * u["factor"]) / c * F.coalesce(F.get("density", at), F.lit(0.0))
+        return F.struct(F.when(c > 0, density).otherwise(0.0).alias("d"), u["unit"].alias("unit"), u["common_unit"].alias("common_unit"), c.alias("common_value"))
+
+    scored = usable.join(F.broadcast(model), "guess").withColumn("d", F.transform("units", scored_unit)).withColumn("best", F.array_max("d"))
     total = F.aggregate("d", F.lit(0.0), lambda a, p: a + p["d"])
     posterior = F.coalesce(F.try_divide(F.col("best.d"), total), F.lit(0.0))
-    assigned = scored.select("id", F.col("guess").alias("dimension"), "best.common_unit", (F.col("value") * F.col("best.factor") + F.col("best.shift")).alias("common_value"), "best.unit", F.lit(None).cast("string").alias("stated_in"), F.when(posterior >= SURE, "assigned").otherwise("uncertain").alias("status"), posterior.alias("posterior"))
     none = lambda t: F.lit(None).cast(t)
-    rest = missing.where("value is null or value <= 0 or value = 'NaN' or guess is null")
+    fits = F.col("best.d") > 0  # else no unit gives the value a density, as of a negative one without a shifted unit
+    given = scored.select("id", F.col("guess").alias("dimension"), F.when(fits, F.col("best.common_unit")).alias("common_unit"), F.when(fits, F.col("best.common_value")).alias("common_value"), F.when(fits, F.col("best.unit")).alias("unit"), none("string").alias("stated_in"), F.when(posterior >= SURE, "assigned").otherwise("uncertain").alias("status"), posterior.alias("posterior"))
+    rest = missing.where("value is null or value = 0 or value = 'NaN' or abs(value) = 'Infinity' or guess is null")
     rest = rest.select("id", F.col("guess").alias("dimension"), none("string").alias("common_unit"), none("double").alias("common_value"), none("string").alias("unit"), none("string").alias("stated_in"), F.when(F.col("value").isNull(), "no_value").when(F.col("guess").isNull(), "no_unit").otherwise("uncertain").alias("status"), none("double").alias("posterior"))
-    direct = stated.select("id", "dimension", "common_unit", converted.alias("common_value"), "unit", "stated_in", F.lit("stated").alias("status"), F.lit(1.0).alias("posterior"))
-    return direct.unionByName(assigned).unionByName(rest)
+    return given.unionByName(rest)
 
 
 def problem_records(problems: DataFrame) -> DataFrame:
@@ -340,5 +402,5 @@ def scientific(value: F.Column) -> F.Column:
 
 def stated_quantities(problems: DataFrame, unit_defs: DataFrame) -> DataFrame:
     """(problem_id, common_unit, common_value): rows whose unit is stated, as text of four digits."""
-    rows = common_quantities(problem_records(problems), unit_defs).where("status = 'stated'")
+    rows = converted(parsed(problem_records(problems)), unit_rows(unit_defs))
     return rows.select(F.col("id").alias("problem_id"), "common_unit", scientific(F.col("common_value")).alias("common_value"))

@@ -72,3 +72,38 @@ def test_missing_units_are_assigned_on_the_log_scale(spark):
 def test_every_unit_has_spellings(spark, sf):
     names = {r["unit_name"] for r in spark.read.parquet(f"{sf}/unit_defs.parquet").collect()}
     assert names == set(units.SPELLINGS)
+
+
+def test_a_unit_with_a_shift_is_told_from_its_scale(spark):
+    rng = random.Random(4)
+    rows, truth = [], {}
+    for i in range(900):
+        kelvin = rng.uniform(230, 320)
+        unit = rng.choice(["kelvin", "celsius"])
+        value = kelvin - (273.15 if unit == "celsius" else 0)
+        stated = i % 3 == 0
+        rows.append((i, "How hot is it?", f"{value:.4f}", {"kelvin": "K", "celsius": "°C"}[unit] if stated else None, None))
+        truth[i] = (unit, stated)
+    rows.append((2000, "How hot is it?", "0", None, None))
+    defs = spark.createDataFrame([("temperature", "kelvin", "kelvin", 1.0, 0.0), ("temperature", "kelvin", "celsius", 1.0, 273.15), ("temperature", "kelvin", "void", None, 0.0)], "dimension string, common_unit string, unit_name string, factor double, shift double")
+    mine = {r["id"]: r for r in units.common_quantities(units.problem_records(spark.createDataFrame(rows, RECORD)), defs).collect()}
+    free = [i for i, (_, stated) in truth.items() if not stated]
+    assert np.mean([mine[i]["status"] == "assigned" and mine[i]["unit"] == truth[i][0] for i in free]) > 0.97
+    assert all(230 < mine[i]["common_value"] < 320 for i in free if mine[i]["unit"] == truth[i][0]) and mine[2000]["status"] == "uncertain"
+
+
+def test_hidden_units_of_the_tables(spark, sf):
+    """Units of a fifth of the stated rows are hidden; the assigned ones must be right, and the uncertain ones flagged."""
+    from pyspark.sql import functions as F
+
+    folder = sf.replace("sf0.001", "sf0.1")
+    problems, defs = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("problems", "unit_defs"))
+    table = units.unit_rows(defs)
+    read = units.parsed(units.problem_records(problems)).collect()
+    shape = units.PARSED
+    hidden = {r["id"]: table[r["unit"]] for r in read if r["unit"] and r["id"] % 5 == 0}
+    masked = spark.createDataFrame([(r["id"], r["value"], None if r["id"] in hidden else r["unit"], r["stated_in"], r["phrase"]) for r in read], shape)
+    out = [r for r in units.assigned(masked, table).where(F.col("id").isin(list(hidden))).collect()]
+    sure = [r for r in out if r["status"] == "assigned" and r["dimension"] == hidden[r["id"]]["dimension"]]
+    assert len(out) == len(hidden) and len(sure) < len(out) / 2
+    assert sum(r["unit"] == hidden[r["id"]]["unit_name"] for r in sure) >= 0.9 * len(sure)
