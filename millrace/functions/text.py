@@ -43,6 +43,11 @@ def split_answer(text: Column) -> tuple[Column, Column]:
     return F.regexp_extract(text, number, 1), F.regexp_extract(text, rf"{number}{SPACE}*+([A-Za-z[^\x00-\x7f]].*?){SPACE}*$", 2)
 
 
+def sanitized_query(text: Column) -> Column:
+    """Word characters of any script; everything else becomes one blank."""
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "))
+
+
 def normalize_question(text: str | None) -> str | None:
     """Compatibility form, case folded, white space collapsed."""
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).casefold().split())

@@ -30,18 +30,21 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "samples").select("sample_index", "source", "prompt", "response", "label").distinct()
 
 
-_SQL_NORM = r"""trim(regexp_replace(regexp_replace(translate(lower({x}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
-_P = "(SELECT DISTINCT sample_index, response, label FROM samples WHERE regexp_full_match(response, '[ -~\\n]*'))"
+# word characters and white space of all of Unicode; an article is a whole run of word characters, marked at both ends
+_WORDS, _SPACES = r"[\p{{L}}\p{{N}}_]", r"[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]"
+_MARKED = rf"""regexp_replace(translate(lower({{x}}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{{{|}}}}~', ''), '({_WORDS}+)', chr(57344) || '\1' || chr(57345), 'g')"""
+_SQL_NORM = rf"""trim(regexp_replace(translate(regexp_replace({_MARKED}, chr(57344) || '(a|an|the)' || chr(57345), ' ', 'g'), chr(57344) || chr(57345), ''), '{_SPACES}+', ' ', 'g'))"""
+_P = "(SELECT DISTINCT sample_index, response, label FROM samples WHERE response IS NOT NULL)"
 
 
-def ascii_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose response is ASCII, where both engines' word boundaries agree."""
-    return pairs(spark, d).where(r"response rlike '^[ -~\n]*$' and not response rlike '[^ -~\n]'").select("sample_index", "response", "label").distinct()
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    """All rows with a response, in any script."""
+    return pairs(spark, d).where("response is not null").select("sample_index", "response", "label").distinct()
 
 
 @query(f"SELECT sample_index, {_SQL_NORM.format(x='response')} AS normalized FROM {_P}")
 def k1_normalized_answers(spark: SparkSession, d: str) -> DataFrame:
-    return ascii_pairs(spark, d).select("sample_index", X.normalized_answer(F.col("response")).alias("normalized"))
+    return answered(spark, d).select("sample_index", X.normalized_answer(F.col("response")).alias("normalized"))
 
 
 @query(f"""WITH p AS (SELECT sample_index, {_SQL_NORM.format(x='response')} AS a, {_SQL_NORM.format(x='label')} AS b FROM {_P} WHERE label IS NOT NULL),
@@ -49,35 +52,11 @@ ta AS (SELECT sample_index, w, count(*) AS n FROM (SELECT sample_index, unnest(s
 s AS (SELECT ta.sample_index, sum(least(ta.n, tb.n)) AS same FROM ta JOIN tb ON ta.sample_index = tb.sample_index AND ta.w = tb.w GROUP BY 1), na AS (SELECT sample_index, sum(n) AS n FROM ta GROUP BY 1), nb AS (SELECT sample_index, sum(n) AS n FROM tb GROUP BY 1)
 SELECT p.sample_index, CASE WHEN s.same IS NULL OR (a <> b AND (a IN ('yes', 'no', 'noanswer') OR b IN ('yes', 'no', 'noanswer'))) THEN 0.0 ELSE round(2.0 * same / (na.n + nb.n), 6) + 0.0 END AS f1 FROM p LEFT JOIN s USING (sample_index) LEFT JOIN na USING (sample_index) LEFT JOIN nb USING (sample_index)""")
 def k2_token_f1(spark: SparkSession, d: str) -> DataFrame:
-    return ascii_pairs(spark, d).where("label is not null").select("sample_index", r6(X.token_f1(F.col("response"), F.col("label"))).alias("f1"))
+    return answered(spark, d).where("label is not null").select("sample_index", r6(X.token_f1(F.col("response"), F.col("label"))).alias("f1"))
 
 
 @query(f"SELECT sample_index, CASE WHEN {_SQL_NORM.format(x='response')} = {_SQL_NORM.format(x='label')} THEN 1 ELSE 0 END AS em FROM {_P} WHERE label IS NOT NULL")
 def k3_exact_match(spark: SparkSession, d: str) -> DataFrame:
-    same = X.normalized_answer(F.col("response")) == X.normalized_answer(F.col("label"))
-    return ascii_pairs(spark, d).where("label is not null").select("sample_index", same.cast("int").alias("em"))
-
-
-def answered(spark: SparkSession, d: str) -> DataFrame:
-    """All rows with a response, in any script."""
-    return pairs(spark, d).where("response is not null").select("sample_index", "response", "label").distinct()
-
-
-# k1 to k3, k19, k20 and k33 have SQL and so keep to the rows on which it agrees; those named _all cover every row.
-
-
-@query()
-def k1_normalized_answers_all(spark: SparkSession, d: str) -> DataFrame:
-    return answered(spark, d).select("sample_index", X.normalized_answer(F.col("response")).alias("normalized"))
-
-
-@query()
-def k2_token_f1_all(spark: SparkSession, d: str) -> DataFrame:
-    return answered(spark, d).where("label is not null").select("sample_index", r6(X.token_f1(F.col("response"), F.col("label"))).alias("f1"))
-
-
-@query()
-def k3_exact_match_all(spark: SparkSession, d: str) -> DataFrame:
     same = X.normalized_answer(F.col("response")) == X.normalized_answer(F.col("label"))
     return answered(spark, d).where("label is not null").select("sample_index", same.cast("int").alias("em"))
 
@@ -122,27 +101,20 @@ def k18_k21_log10_answers(spark: SparkSession, d: str) -> DataFrame:
     return p.select("problem_id", r6(batched(G.source_answer_log10, "double")("answer_value")).alias("log10_magnitude"), r6(batched(G.positive_log10, "double")("answer_value")).alias("log10_positive"))
 
 
-@query(r"""SELECT problem_id, regexp_extract(answer_value, '^\s*([-+]?[0-9][0-9.,]*)', 1) AS value, trim(regexp_extract(answer_value, '^\s*[-+]?[0-9][0-9.,]*\s*([A-Za-z].*)$', 1)) AS unit FROM problems WHERE answer_value IS NOT NULL AND regexp_full_match(answer_value, '[ -~]*')""")
-def k19_split_answers(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "problems").where(r"answer_value is not null and answer_value rlike '^[ -~]*$' and not answer_value rlike '[^ -~]'")
-    value, unit = X.split_answer(F.col("answer_value"))
-    return p.select("problem_id", value.alias("value"), unit.alias("unit"))
+# a unit begins with a letter or any sign beyond ASCII that is no white space
+_UNIT_HEAD = r"[A-Za-z\x{80}-\x{84}\x{86}-\x{9f}\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}\x{3001}-\x{10ffff}]"
+_NUMBER_HEAD = "(?s)^" + _SPACES.format() + r"*([-+]?[0-9][0-9.,]*)"
 
 
-@query()
-def k19_split_answers_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""SELECT problem_id, regexp_extract(answer_value, '{_NUMBER_HEAD}', 1) AS value, regexp_extract(answer_value, '{_NUMBER_HEAD}{_SPACES.format()}*({_UNIT_HEAD}.*?){_SPACES.format()}*$', 2) AS unit FROM problems WHERE answer_value IS NOT NULL""")
+def k19_split_answers(spark: SparkSession, d: str) -> DataFrame:
     value, unit = X.split_answer(F.col("answer_value"))
     return table(spark, d, "problems").where("answer_value is not null").select("problem_id", value.alias("value"), unit.alias("unit"))
 
 
-@query(r"""SELECT problem_id, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS normalized FROM problems WHERE regexp_full_match(question, '[ -~\n\r\t]*')""")
-def k20_normalized_questions(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "problems").where(r"question rlike '^[ -~\n\r\t]*$' and not question rlike '[^ -~\n\r\t]'")
-    return p.select("problem_id", batched(X.normalize_question, "string")("question").alias("normalized"))
-
-
 @query()
-def k20_normalized_questions_all(spark: SparkSession, d: str) -> DataFrame:
+def k20_normalized_questions(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: the compatibility form of Unicode is not in it."""
     p = table(spark, d, "problems").where("question is not null")
     return p.select("problem_id", batched(X.normalize_question, "string")("question").alias("normalized"))
 
@@ -187,16 +159,10 @@ def k31_k32_actions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_index", kind(G.tool_action).alias("tool_action"), kind(G.search_action).alias("search_action"), batched(lambda r: G.cut_after_action(r) if r is not None else None, "string")("response").alias("cut"))
 
 
-@query("""SELECT DISTINCT sample_index, trim(regexp_replace(regexp_replace(prompt, '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS query FROM samples WHERE regexp_full_match(prompt, '[ -~]*')""")
+@query(r"""SELECT DISTINCT sample_index, trim(regexp_replace(prompt, '[^\p{L}\p{N}_]+', ' ', 'g')) AS query FROM samples WHERE prompt IS NOT NULL""")
 def k33_sanitized_queries(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d).where(r"prompt rlike '^[ -~]*$' and not prompt rlike '[^ -~]'")
-    return p.select("sample_index", batched(G.sanitized_query, "string")("prompt").alias("query")).distinct()
-
-
-@query()
-def k33_sanitized_queries_all(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d).where("prompt is not null").select("sample_index", "prompt").distinct()
-    return p.select("sample_index", batched(G.sanitized_query, "string")("prompt").alias("query")).distinct()
+    p = table(spark, d, "samples").where("prompt is not null")
+    return p.select("sample_index", X.sanitized_query(F.col("prompt")).alias("query")).distinct()
 
 
 @query("""SELECT name, CASE WHEN name LIKE '%sync%' THEN 'communication' WHEN name LIKE '%generate%' THEN 'generation' WHEN name LIKE '%reward%' THEN 'reward' ELSE 'other' END AS category, count(*) AS n FROM (SELECT DISTINCT event_id, name FROM trace_events) GROUP BY 1, 2""")

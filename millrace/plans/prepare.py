@@ -79,15 +79,9 @@ def c29_passages(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("session_id").agg(docs.alias("docs")).select("session_id", transforms.passages(F.col("docs")).alias("passages"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 256 THEN left(text, 256) || '...' ELSE text END AS compact FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n\\r\\t]*')""")
-def c31_compact_texts(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").where(r"text is not null and text rlike '^[ -~\n\r\t]*$' and not text rlike '[^ -~\n\r\t]'")
-    return doc.select("doc_id", transforms.compact_text(F.col("text")).alias("compact"))
-
-
 @query("""SELECT doc_id, CASE WHEN length(text) > 256 THEN left(text, 256) || '...' ELSE text END AS compact FROM documents WHERE text IS NOT NULL""")
-def c31_compact_texts_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same of every text, in any script; lengths are code points."""
+def c31_compact_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths are code points; the cut with its marker is the operator."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", transforms.compact_text(F.col("text")).alias("compact"))
 
 

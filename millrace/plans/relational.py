@@ -135,15 +135,9 @@ def e34_top_kernels(spark: SparkSession, d: str) -> DataFrame:
     return b.orderBy(F.col("total_ms").desc(), "name", "engine_id").limit(30)
 
 
-@query("""SELECT trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS q, count(DISTINCT answer_value) AS distinct_values, count(*) AS rows FROM problems WHERE regexp_full_match(question, '[ -~\\n\\r\\t]*') GROUP BY 1 HAVING count(DISTINCT answer_value) > 1""")
-def e35_conflicting_answers(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "problems").where(r"question rlike '^[ -~\n\r\t]*$' and not question rlike '[^ -~\n\r\t]'")
-    return metrics.conflicts(p.withColumn("q", F.trim(F.regexp_replace(F.lower("question"), r"\s+", " "))), ["q"], "answer_value")
-
-
 @query()
-def e35_conflicting_answers_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over every question, in any script: compatibility form, case folded, white space collapsed."""
+def e35_conflicting_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Questions are compared in compatibility form, case folded, white space collapsed, for which there is no SQL."""
     p = table(spark, d, "problems").where("question is not null").select("answer_value", batched(text.normalize_question, "string")("question").alias("q"))
     return metrics.conflicts(p, ["q"], "answer_value")
 
@@ -238,9 +232,14 @@ def h9_dense_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, len(w) AS len, w FROM w WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(len) AS a FROM d),
-tf AS (SELECT doc_id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT doc_id, len, unnest(w) AS term FROM d) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT problem_id AS query_id, term, count(*) AS qtf FROM (SELECT problem_id, unnest(list_filter(string_split_regex(lower(question), '[^a-z0-9]+'), x -> x <> '')) AS term FROM problems WHERE problem_id % 100 = 0) GROUP BY 1, 2),
-s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * len / a))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, round(score, 5) + 0.0 AS score FROM r WHERE rank <= 5""".replace("x -> x <> ''", "lambda x: x <> ''"))
+# words of letters, marks and digits of any script; scripts without spaces by pairs of neighbouring signs
+_RUNS = r"""regexp_extract_all(regexp_replace(lower({x}), '([\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}]+)', ' \1 ', 'g'), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}]+|[\p{{L}}\p{{N}}\p{{M}}]+')"""
+_TERMS = rf"flatten([CASE WHEN regexp_matches(t, '^[\p{{{{Han}}}}\p{{{{Hiragana}}}}\p{{{{Katakana}}}}\p{{{{Thai}}}}]') AND length(t) > 1 THEN [t[i:i + 1] FOR i IN range(1, length(t))] ELSE [t] END FOR t IN {_RUNS}])"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_TERMS.format(x='text')} AS w FROM documents WHERE text IS NOT NULL), d AS (SELECT doc_id, len(w) AS len, w FROM w WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(len) AS a FROM d),
+tf AS (SELECT doc_id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT doc_id, len, unnest(w) AS term FROM d) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT problem_id AS query_id, term, count(*) AS qtf FROM (SELECT problem_id, unnest({_TERMS.format(x='question')}) AS term FROM problems WHERE problem_id % 100 = 0) GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * len / a))), 9) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, round(score, 5) + 0.0 AS score FROM r WHERE rank <= 5""")
 def h10_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Every problem whose id is divisible by 100 as a query against all documents."""
     q = table(spark, d, "problems").where("problem_id % 100 = 0").select(F.col("problem_id").alias("query_id"), F.col("question").alias("text"))
@@ -248,14 +247,6 @@ def h10_bm25(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
-@query()
-def h10_bm25_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same with words of any script, in queries, documents, lengths and frequencies."""
-    q = table(spark, d, "problems").where("problem_id % 100 = 0").select(F.col("problem_id").alias("query_id"), F.col("question").alias("text"))
-    out = retrieval.bm25_top_k(table(spark, d, "documents"), q, 5, terms=retrieval.all_terms)
-    return out.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 5) + F.lit(0.0)).alias("score"))
-
-
 # -- splits -------------------------------------------------------------------------------
 
 

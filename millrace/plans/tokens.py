@@ -186,15 +186,9 @@ def e9_kept_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return q.agg(r6(F.sum(total) / F.sum(n)).alias("kept_per_token"))
 
 
-@query("""WITH x AS (SELECT vec_id, embedding[1:8] AS l FROM embeddings), u AS (SELECT vec_id, CAST(unnest(l) AS DOUBLE) AS v FROM x), n AS (SELECT vec_id, max(v) + ln(sum(exp(v - m))) AS z FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM u) GROUP BY 1) SELECT u.vec_id, round(-sum(exp(v - z) * (v - z)), 5) + 0.0 AS entropy FROM u JOIN n USING (vec_id) GROUP BY 1""")
-def g16_small_vocabulary_entropy(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("l"))
-    return x.select("vec_id", (F.round(K.entropy(F.col("l")), 5) + F.lit(0.0)).alias("entropy"))
-
-
 @query("""WITH u AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, max(v) + ln(sum(exp(v - m))) AS z FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m FROM u) GROUP BY 1) SELECT u.vec_id, round(-sum(exp(v - z) * (v - z)), 5) + 0.0 AS entropy FROM u JOIN n USING (vec_id) GROUP BY 1""")
-def g16_small_vocabulary_entropy_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same with the whole embedding as the logits."""
+def g16_small_vocabulary_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """The whole embedding as the logits."""
     x = table(spark, d, "embeddings").where("size(embedding) > 0").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("l"))
     return x.select("vec_id", (F.round(K.entropy(F.col("l")), 5) + F.lit(0.0)).alias("entropy"))
 

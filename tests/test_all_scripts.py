@@ -43,22 +43,22 @@ def result(spark, data, name):
 
 def test_answers_of_every_row(spark, data):
     both = {i: (t, y) for i, (t, y) in enumerate(zip(TEXTS, LABELS)) if y is not None}
-    assert result(spark, data, "k1_normalized_answers_all") == {i: normal(t) for i, t in enumerate(TEXTS)}
-    assert result(spark, data, "k2_token_f1_all") == pytest.approx({i: f1(*x) for i, x in both.items()}, abs=1e-6)
-    assert result(spark, data, "k3_exact_match_all") == {i: int(normal(t) == normal(y)) for i, (t, y) in both.items()}
-    assert result(spark, data, "k33_sanitized_queries_all") == {i: " ".join(re.sub(r"[^\w\s]", " ", t).split()) for i, t in enumerate(TEXTS)}
+    assert result(spark, data, "k1_normalized_answers") == {i: normal(t) for i, t in enumerate(TEXTS)}
+    assert result(spark, data, "k2_token_f1") == pytest.approx({i: f1(*x) for i, x in both.items()}, abs=1e-6)
+    assert result(spark, data, "k3_exact_match") == {i: int(normal(t) == normal(y)) for i, (t, y) in both.items()}
+    assert result(spark, data, "k33_sanitized_queries") == {i: " ".join(re.sub(r"[^\w\s]", " ", t).split()) for i, t in enumerate(TEXTS)}
 
 
 def test_questions_of_every_row(spark, data):
     form = {i: " ".join(unicodedata.normalize("NFKC", q).casefold().split()) for i, (q, _) in enumerate(QUESTIONS) if q is not None}
-    assert result(spark, data, "k20_normalized_questions_all") == form
+    assert result(spark, data, "k20_normalized_questions") == form
     groups = defaultdict(list)
     for i, q in form.items():
         groups[q].append(QUESTIONS[i][1])
-    assert result(spark, data, "e35_conflicting_answers_all") == {q: (len(set(v)), len(v)) for q, v in groups.items() if len(set(v)) > 1}
-    split = result(spark, data, "k19_split_answers_all")
+    assert result(spark, data, "e35_conflicting_answers") == {q: (len(set(v)), len(v)) for q, v in groups.items() if len(set(v)) > 1}
+    split = result(spark, data, "k19_split_answers")
     assert [split[i] for i in range(7, 13)] == [("7.5", "µm"), ("2770", "°F"), ("8.48", "×10²"), ("", ""), ("12", ""), ("3", "")] and len(split) == len(QUESTIONS)
 
 
 def test_texts_of_every_row(spark, data):
-    assert result(spark, data, "c31_compact_texts_all") == {0: "é" * 256 + "...", 1: "𝒳" * 256, 3: "a"}
+    assert result(spark, data, "c31_compact_texts") == {0: "é" * 256 + "...", 1: "𝒳" * 256, 3: "a"}
