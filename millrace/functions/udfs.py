@@ -9,20 +9,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def batched(f: Callable, kind: str) -> Callable[..., Column]:
+def batched(f: Callable, kind: str, arity: int | None = None) -> Callable[..., Column]:
     """A vectorized UDF of a function of one row's values; nulls arrive as None."""
 
     def one(a: pd.Series) -> pd.Series:
         return pd.Series([f(None if _null(x) else x) for x in a], dtype=object)
 
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(None if _null(x) else x, None if _null(y) else y) for x, y in zip(a, b)], dtype=object)
+        return _rows(f, a, b)
 
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([f(*(None if _null(v) else v for v in vs)) for vs in zip(a, b, c)], dtype=object)
+        return _rows(f, a, b, c)
 
-    arity = f.__code__.co_argcount - len(f.__defaults__ or ())
-    return F.pandas_udf({1: one, 2: two, 3: three}[arity], kind)
+    def four(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return _rows(f, a, b, c, d)
+
+    if arity is None:
+        arity = f.__code__.co_argcount - len(f.__defaults__ or ())
+    return F.pandas_udf({1: one, 2: two, 3: three, 4: four}[arity], kind)
+
+
+def _rows(f: Callable, *columns: pd.Series) -> pd.Series:
+    return pd.Series([f(*(None if _null(v) else v for v in vs)) for vs in zip(*columns)], dtype=object)
 
 
 def _null(x) -> bool:

@@ -7,6 +7,7 @@ DataFrame), ``stage`` (DataFrame -> DataFrame). A dotted path names a hook that
 from __future__ import annotations
 
 import importlib
+import json
 import zlib
 from collections.abc import Callable
 
@@ -52,30 +53,51 @@ def _fermi(response: str | None, label: str | None) -> float:
     return 0.0 if target is None else G.fermi_score(G.answer_log10(response), target)[0]
 
 
-#: Reward types to graders, pure functions of response and label; users add theirs.
-GRADERS: dict[str, Callable[[str | None, str | None], float | None]] = {
-    "f1": lambda r, t: G.f1_score(r, t)[0],
-    "math": G.math_reward,
-    "deepscaler": G.reasoned_math_reward,
+#: Reward types to graders, functions of response, label and the row's metadata (a mapping, perhaps empty); users add theirs.
+GRADERS: dict[str, Callable[[str | None, str | None, dict], float | None]] = {
+    "f1": lambda r, t, m: G.f1_score(r, t)[0],
+    "math": lambda r, t, m: G.math_reward(r, t),
+    "deepscaler": lambda r, t, m: G.reasoned_math_reward(r, t),
+    "dapo": lambda r, t, m: G.integer_answer_reward(r, t),
     "gpqa": G.choice_reward,
-    "fermi": _fermi,
-    "integer": G.integer_answer_reward,
-    "random": lambda r, t: float(zlib.crc32(f"{r}|{t}".encode()) & 1),
+    "fermi": lambda r, t, m: _fermi(r, t),
+    "random": lambda r, t, m: float(zlib.crc32(f"{r}|{t}".encode()) & 1),
 }
 
 
-def grade(kind: str | None, response: str | None, label: str | None) -> float | None:
-    """Reward by type; ``boxed_x`` grades the last box by x; an unknown type gives None."""
-    kind = kind or ""
-    grader = GRADERS.get(kind.removeprefix("boxed_"))
-    if grader is None:
+def grade(kind: str | None, response: str | None, label: str | None, metadata: str | dict | None = None) -> float | None:
+    """Reward by type; ``boxed_x`` hands x the content of the last box (empty without one).
+
+    A type in ``metadata`` (a mapping or its JSON) goes before ``kind``. Without any type there is no reward (None);
+    an unknown one raises. A label that the grader cannot read gives None.
+    """
+    about = _mapping(metadata)
+    kind = str(about.get("rm_type") or kind or "").strip()
+    if not kind:
+        return None
+    name = kind.removeprefix("boxed_")
+    if name not in GRADERS:
+        raise NotImplementedError(f"no reward type {kind}")
+    if name != kind:
+        response = G.last_boxed(response) or ""
+    try:
+        return GRADERS[name](response, label, about)
+    except (ValueError, TypeError, OverflowError):
         return None
-    if kind.startswith("boxed_"):
-        box = G.last_boxed(response)
-        response = None if box is None else f"\\boxed{{{box}}}"
-    return grader(response, label)
 
 
-def graded(df: DataFrame, kind: str, response: str, label: str, out: str = "reward") -> DataFrame:
+def _mapping(metadata: str | dict | None) -> dict:
+    """Metadata as a mapping; text that is no JSON object gives an empty one."""
+    if isinstance(metadata, str):
+        try:
+            metadata = json.loads(metadata)
+        except ValueError:
+            return {}
+    return metadata if isinstance(metadata, dict) else {}
+
+
+def graded(df: DataFrame, kind: str, response: str, label: str, out: str = "reward", metadata: str | None = None) -> DataFrame:
     """Reward of each row by its own type, in one pass over the table."""
-    return df.withColumn(out, batched(grade, "double")(kind, response, label))
+    columns = (kind, response, label) + ((metadata,) if metadata else ())
+    f = grade if metadata else lambda k, r, t: grade(k, r, t)
+    return df.withColumn(out, batched(f, "double", len(columns))(*columns))

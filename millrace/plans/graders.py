@@ -76,17 +76,17 @@ def k12_integer_answer(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k13_multiple_choice(spark: SparkSession, d: str) -> DataFrame:
-    return pairs(spark, d).where("source = 'gpqa'").select("sample_index", batched(lambda r: G.option_letter(r), "string")("response").alias("letter"), batched(lambda r, l: G.choice_reward(r, l), "double")("response", "label").alias("reward"))
+    return pairs(spark, d).where("source = 'gpqa'").select("sample_index", batched(lambda r: G.option_letter(r), "string")("response").alias("letter"), batched(lambda r, t: G.choice_reward(r, t), "double")("response", "label").alias("reward"))
 
 
 @query()
 def k15_dispatched_rewards(spark: SparkSession, d: str) -> DataFrame:
-    """Each row is graded by the grader of its source; a ``boxed_`` type grades the last box only."""
+    """Each row is graded by the grader of its source, with its metadata; a ``boxed_`` type hands over the last box's content."""
     from millrace.operators.registry import graded
 
-    kinds = F.create_map(*[F.lit(x) for x in ("fermi", "boxed_fermi", "maze", "math", "code_regression", "math", "gpqa", "gpqa", "forecast", "f1", "tool_session", "f1")])
-    p = pairs(spark, d).withColumn("rm_type", F.element_at(kinds, F.col("source")))
-    return graded(p, "rm_type", "response", "label").select("sample_index", "rm_type", r6("reward").alias("reward"))
+    kinds = F.create_map(*[F.lit(x) for x in ("fermi", "fermi", "maze", "boxed_f1", "code_regression", "math", "gpqa", "gpqa", "forecast", "f1", "tool_session", "dapo")])
+    p = table(spark, d, "samples").select("sample_index", "source", "response", "label", "metadata").distinct().withColumn("rm_type", F.element_at(kinds, F.col("source")))
+    return graded(p, "rm_type", "response", "label", metadata="metadata").select("sample_index", "rm_type", r6("reward").alias("reward"))
 
 
 @query()

@@ -43,7 +43,19 @@ def test_math_rewards():
 
 def test_choices():
     assert grading.option_letter("The answer is B.") == "B" and grading.option_letter("I pick (C)") == "C" and grading.option_letter("<think>A</think> hmm") is None
-    assert grading.choice_reward("Answer: B", "B") == 1 and grading.choice_reward("Answer: A", 1, ["x", "y"]) == 0 and grading.choice_reward("it is the red one", "red one", ["blue", "red one"]) == 1 and grading.choice_reward(None, "B") == 0
+    assert grading.choice_reward("Answer: B", "B") == 1 and grading.choice_reward("Answer: A", 1, {"choices": ["x", "y"]}) == 0 and grading.choice_reward("it is the red one", "red one", {"choices": ["blue", "red one"]}) == 1 and grading.choice_reward(None, "B") == 0
+
+    for text, letter in (("My choice is D", "D"), ("A is correct here", "A"), ("E is the correct option", "E"), ("we ruled out A, then B, settled on C", "C"), ("My answer is J", "J"), ("My answer is Q", None)):
+        assert grading.option_letter(text) == letter
+    reward = grading.choice_reward
+    assert reward("I just pick B", "J") == 0 and reward("J", "j") == 1 and reward("it is x2", "x", {"valid_letters": ["A", "B"]}) == 0 and reward("it is x", "x", {"valid_letters": ["A", "B"]}) == 1
+    assert reward("Answer: B", "irrelevant", {"correct_letter": "b"}) == 1 and reward("the sea", None, {"correct_answer": "The Sea!"}) == 1 and reward("nothing", None, {}) == 0 and reward("the red", 9, {"choices": {"a": "blue", "b": "red"}}) == 0
+    assert reward("so the second, red", 1, {"choices": {"a": "blue", "b": "red"}}) == 1
+
+
+def test_integer_forms():
+    table = {"x = 42": "42", "an answer": "answer", "42 square": "42", "100 dollars": "100", r"\text{hello}": "hello", r"\boxed{42}": "42", "1,234,567": "1234567", "a b c": "bc", "42<|endoftext|>": "42", "42<|im_end|>": "42", r"so $x = 7$.": "7.", "so $7.$ then": "7", "7.$": "7", r"\$5.00": "5.00", r"$\text{7}\text{ cm}$": "7", "": ""}
+    assert {k: grading.integer_form(k) for k in table} == table
 
 
 def test_log10():
