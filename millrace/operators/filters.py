@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.transforms import word_count
+from millrace.runtime import bounded_broadcast
 
 
 def nonzero_std(df: DataFrame, group: str = "group_index", reward: str = "reward", least: float = 1e-6) -> DataFrame:
@@ -41,7 +42,7 @@ def first_n(df: DataFrame, n: int, order: Iterable[str]) -> DataFrame:
 def newest_groups(df: DataFrame, group: str, at: str, n: int) -> DataFrame:
     """Rows of the n groups with the latest time; a group without a time counts as oldest."""
     newest = df.groupBy(group).agg(F.max(at).alias("_at")).orderBy(F.col("_at").desc_nulls_last(), group).limit(n).select(group)
-    return df.join(F.broadcast(newest), group, "left_semi")
+    return df.join(bounded_broadcast(newest), group, "left_semi")
 
 
 def popped(df: DataFrame, n: int, order: Iterable[str], key: str) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Spans and intervals: unions, gaps, overlap joins, span reconstruction.
 
 Windows partition by a stream key (an engine, a rank, a sample). Where one key may hold a large part of
-all rows, the interval union works on time slices first, so that no task gets a whole key.
+all rows, ``merged_ranged`` cuts keys by time, so that no task gets a whole key.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.grouped import map_groups
+from millrace.runtime import bounded_broadcast, cut
 
 
 def merged(df: DataFrame, keys: Iterable[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -25,12 +26,34 @@ def merged(df: DataFrame, keys: Iterable[str], start: str = "start", end: str =
     return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
-def merged_sliced(df: DataFrame, keys: Iterable[str], start: str, end: str, slice_length: float) -> DataFrame:
-    """``merged`` in two steps: unions within time slices (hot keys spread over slices), then over what is left."""
+def merged_ranged(df: DataFrame, keys: Iterable[str], start: str = "start", end: str = "end") -> DataFrame:
+    """``merged`` without one task for all rows of a key.
+
+    Rows are range-partitioned by keys and start. How far the partitions before a row's own reach is carried as one row
+    a key and partition (a prefix maximum), and an island that is open where a partition begins is attached to
+    the last one that began before it.
+    """
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.floor(F.col(start) / slice_length))
-    first = merged(sliced, [*keys, "_slice"], start, end)
-    return merged(first.drop("_slice"), keys, start, end)
+    valid = df.where(f"{start} is not null and {end} is not null and {end} >= {start}").select(*keys, start, end)
+    ranged = cut(valid.repartitionByRange(*keys, start).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = ranged.groupBy(*keys, "_part").agg(F.max(end).alias("_most"))
+    reach = reach.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.max("_most").over(earlier).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = Window.partitionBy(*keys, "_part").orderBy(start, end)
+    before = F.greatest(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    marked = ranged.join(bounded_broadcast(reach), same).withColumn("_new", F.coalesce((F.col(start) > before).cast("int"), F.lit(1)))
+    marked = marked.withColumn("_island", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut(marked.groupBy(*keys, "_part", "_island").agg(F.min(start).alias(start), F.max(end).alias(end)))
+    # a row a key and partition with an open island or one that began there
+    edges = parts.groupBy(*keys, "_part").agg(F.max(F.when(F.col("_island") > 0, F.col("_island"))).alias("_last"), F.max(F.when(F.col("_island") == 0, F.struct(start, end))).alias("_open"))
+    began = F.when(F.col("_last").isNotNull(), F.struct("_part", F.col("_last").alias("_island")))
+    edges = edges.withColumn("_of", F.last(began, True).over(earlier)).where("_open is not null")
+    attached = edges.select(*keys, F.col("_of._part").alias("_part"), F.col("_of._island").alias("_island"), F.col(f"_open.{start}").alias(start), F.col(f"_open.{end}").alias(end))
+    whole = parts.where("_island > 0").unionByName(attached)
+    return whole.groupBy(*keys, "_part", "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_part", "_island")
 
 
 def gaps(islands: DataFrame, keys: Iterable[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -63,7 +63,7 @@ def family_split(df: DataFrame, family: str, target: int, seed: int) -> DataFram
     sums = placed.groupBy("_block").agg(F.sum("rows").alias("_t"))
     before = sums.select("_block", (F.sum("_t").over(Window.orderBy("_block")) - F.col("_t")).alias("_before"))
     running = F.col("_before") + F.sum("rows").over(Window.partitionBy("_block").orderBy("place"))
-    run = placed.join(F.broadcast(before), "_block").withColumn("running", running)
+    run = placed.join(bounded_broadcast(before), "_block").withColumn("running", running)
     last = run.agg(F.max("place").alias("_last"))
     best = run.join(F.broadcast(last)).where("place < _last").agg(F.min_by("place", F.struct(F.abs(F.col("running") - target), F.col("place"))).alias("_best"))
     return run.join(F.broadcast(best)).select(family, "rows", F.when(F.col("place") <= F.col("_best"), "eval").otherwise("train").alias("part"))

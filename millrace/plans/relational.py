@@ -169,7 +169,7 @@ def h1_h11_sample_lookup(spark: SparkSession, d: str) -> DataFrame:
 SELECT engine_id, CAST(sum(e - s) AS BIGINT) AS busy, CAST(max(e) - min(s) AS BIGINT) AS span, round(CASE WHEN max(e) > min(s) THEN sum(e - s) * 1.0 / (max(e) - min(s)) ELSE 0 END, 6) + 0.0 AS utilisation FROM m GROUP BY 1""")
 def l10_utilisation(spark: SparkSession, d: str) -> DataFrame:
     """Union of the busy intervals of each engine; hot engines are cut into days first."""
-    islands = intervals.merged_sliced(busy(spark, d), ["engine_id"], "start", "end", 86_400_000.0)
+    islands = intervals.merged_ranged(busy(spark, d), ["engine_id"])
     return intervals.utilisation(islands, ["engine_id"]).withColumn("utilisation", r6("utilisation"))
 
 
@@ -177,7 +177,7 @@ def l10_utilisation(spark: SparkSession, d: str) -> DataFrame:
 SELECT engine_id, gap_start, gap_end, gap_end - gap_start AS length FROM g ORDER BY length DESC, engine_id, gap_start LIMIT 15""")
 def l10_longest_gaps(spark: SparkSession, d: str) -> DataFrame:
     """A stated feature: the 15 longest idle gaps."""
-    islands = intervals.merged_sliced(busy(spark, d), ["engine_id"], "start", "end", 86_400_000.0)
+    islands = intervals.merged_ranged(busy(spark, d), ["engine_id"])
     return intervals.gaps(islands, ["engine_id"]).orderBy(F.col("length").desc(), "engine_id", "gap_start").limit(15)
 
 
@@ -185,7 +185,7 @@ def l10_longest_gaps(spark: SparkSession, d: str) -> DataFrame:
 SELECT g.engine_id, gap_start, gap_end, min(p) AS op_start FROM g JOIN t ON g.engine_id = t.engine_id AND p < gap_end AND p + 60000 > gap_start GROUP BY 1, 2, 3""")
 def h6_gap_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """First minute-long event without a latency that overlaps each idle gap."""
-    islands = intervals.merged_sliced(busy(spark, d), ["engine_id"], "start", "end", 86_400_000.0)
+    islands = intervals.merged_ranged(busy(spark, d), ["engine_id"])
     g = intervals.gaps(islands, ["engine_id"])
     o = events(spark, d, "ts", "name", "engine_id", "e2e_latency").where("e2e_latency is null").select("engine_id", "name", F.round(F.col("ts") * 1000).cast("long").alias("start")).distinct().withColumn("end", F.col("start") + 60_000)
     return intervals.first_overlap(g, o, "engine_id", 3_600_000.0).select("engine_id", "gap_start", "gap_end", "op_start")
@@ -219,7 +219,7 @@ def l11_triples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLE["l10_utilisation"].replace("SELECT engine_id, CAST(sum(e - s) AS BIGINT) AS busy, CAST(max(e) - min(s) AS BIGINT) AS span, round(CASE", ", z AS (SELECT CASE").replace(") + 0.0 AS utilisation FROM m GROUP BY 1", " AS u FROM m GROUP BY engine_id) SELECT count(*) AS ranks, round(max(u) - min(u), 6) + 0.0 AS spread, max(u) - min(u) > 0.05 AS imbalanced FROM z").replace("ELSE 0 END, 6 AS u", "ELSE 0 END AS u"))
 def l12_imbalance(spark: SparkSession, d: str) -> DataFrame:
-    islands = intervals.merged_sliced(busy(spark, d), ["engine_id"], "start", "end", 86_400_000.0)
+    islands = intervals.merged_ranged(busy(spark, d), ["engine_id"])
     u = intervals.utilisation(islands, ["engine_id"])
     return u.agg(F.count("*").alias("ranks"), r6(F.max("utilisation") - F.min("utilisation")).alias("spread"), (F.max("utilisation") - F.min("utilisation") > 0.05).alias("imbalanced"))
 

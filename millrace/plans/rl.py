@@ -274,12 +274,12 @@ def e27_spearman_overall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {S}, x AS (SELECT group_index, sample_index, reward FROM s WHERE group_index IS NOT NULL), g AS (SELECT group_index, median(reward) AS m FROM x GROUP BY 1), y AS (SELECT x.group_index, m, sample_index, abs(reward - m) AS dist FROM x JOIN g USING (group_index) WHERE reward IS NOT NULL)
-SELECT group_index, round(first(m), 6) + 0.0 AS median_prediction, arg_min(sample_index, dist * 1e9 + sample_index / 1e6) AS representative FROM y GROUP BY group_index""")
+SELECT group_index, round(first(m), 6) + 0.0 AS median_prediction, arg_min(sample_index, ROW(dist, sample_index)) AS representative FROM y GROUP BY group_index""")
 def e28_group_median(spark: SparkSession, d: str) -> DataFrame:
     """Median prediction of each group with the sample nearest to it (least index among ties)."""
     s = samples(spark, d).where("group_index is not null and reward is not null")
     m = s.groupBy("group_index").agg(F.median("reward").alias("m"))
-    near = F.min_by("sample_index", F.abs(F.col("reward") - F.col("m")) * 1e9 + F.col("sample_index") / 1e6)
+    near = F.min_by("sample_index", F.struct(F.abs(F.col("reward") - F.col("m")), "sample_index"))
     return s.join(m, "group_index").groupBy("group_index").agg(r6(F.first("m")).alias("median_prediction"), near.alias("representative"))
 
 

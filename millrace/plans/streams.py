@@ -32,8 +32,9 @@ def l1_buffered_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT session_id, max(turn) AS turn, arg_max(finish_reason, turn) AS finish_reason FROM turns WHERE session_id IS NOT NULL AND finish_reason IS NOT NULL GROUP BY 1""")
 def l3_last_chunks(spark: SparkSession, d: str) -> DataFrame:
-    s = jobs.table_stream(spark, f"{d}/turns.parquet").where("session_id is not null and finish_reason is not null").select("session_id", "turn", "finish_reason")
-    out = jobs.drained(jobs.last_chunk(s, "session_id", "turn", "finish_reason"), "update", "chunks")
+    s = jobs.table_stream(spark, f"{d}/turns.parquet").where("session_id is not null and finish_reason is not null")
+    s = s.select("session_id", "turn", "finish_reason", F.coalesce(F.col("created_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("at"))
+    out = jobs.drained(jobs.last_chunk(s, "session_id", "turn", "finish_reason", "at"), "update", "chunks")
     return filters_latest(out, "session_id").select("session_id", "turn", "finish_reason")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import mazes
 from millrace.operators.transforms import positioned
+from millrace.runtime import exists
 
 _SLICE = re.compile(r"(?P<path>.*)@\[(?P<start>-?\d*):(?P<end>-?\d*)\]$")
 
@@ -28,11 +29,6 @@ def split_path(path: str) -> tuple[str, int | None, int | None]:
     return m["path"], start, end
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """One object per line; blank and malformed lines are dropped."""
     reader = spark.read.option("mode", "DROPMALFORMED")
@@ -45,7 +41,7 @@ def read(spark: SparkSession, path: str, order: Iterable[str] = ()) -> DataFrame
     A slice needs an order to be defined; without ``order`` rows come in the order of files and of rows in them.
     """
     where, start, end = split_path(path)
-    if not _exists(spark, where):
+    if not exists(spark, where):
         raise FileNotFoundError(where)
     kind = os.path.splitext(where)[1]
     if kind == ".jsonl":
@@ -58,13 +54,17 @@ def read(spark: SparkSession, path: str, order: Iterable[str] = ()) -> DataFrame
         return df
     order = list(order)
     if not order:
-        df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-        order = ["_row"]
+        df = df.withColumn("_file", F.col("_metadata.file_path"))
+        if kind == ".parquet":
+            df = df.withColumn("_block", F.lit(0)).withColumn("_row", F.col("_metadata.row_index"))
+        else:  # within a block of a file rows are read in their order
+            df = df.withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_row", F.monotonically_increasing_id())
+        order = ["_file", "_block", "_row"]
     placed = positioned(df, order, "_pos")
     keep = F.col("_pos") >= (start or 0)
     if end is not None:
         keep &= F.col("_pos") < end
-    return placed.where(keep).drop("_pos", "_file", "_row")
+    return placed.where(keep).drop("_pos", "_file", "_block", "_row")
 
 
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def checked_ids(ids: DataFrame, key: str) -> DataFrame:
 def dump(spark: SparkSession, template: str, rollout_id: int, fallback: bool = True) -> DataFrame:
     """A dump by a path template with ``{rollout_id}``; falls back to rollout 0 where the own one is missing."""
     path = template.format(rollout_id=rollout_id)
-    if fallback and not _exists(spark, path):
+    if fallback and not exists(spark, path):
         path = template.format(rollout_id=0)
     return spark.read.parquet(path)
 

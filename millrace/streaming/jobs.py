@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from millrace.runtime import shared_dir
+from millrace.runtime import exists, shared_dir
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -39,37 +40,42 @@ def drained(stream: DataFrame, mode: str = "append", label: str = "stream") -> D
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    try:
-        return spark.read.schema(schema.add("batch_id", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out")
-    except Exception:  # noqa: BLE001  nothing was written
-        return spark.createDataFrame([], schema)
+    numbered = StructType(schema.fields).add("batch_id", "long")
+    if not exists(spark, f"{base}/out"):  # no micro-batch was run
+        return spark.createDataFrame([], numbered)
+    return spark.read.schema(numbered).option("basePath", f"{base}/out").parquet(f"{base}/out")
+
+
+def _plain(v):
+    """A value of a pandas column as state keeps it."""
+    return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
 
 
 def accumulated_groups(stream: DataFrame, key: str, columns: list[str], at_least: int, valid: Callable[[pd.DataFrame], bool] = lambda g: True, wait_ms: int | None = None) -> DataFrame:
-    """Rows by instance until a group has ``at_least`` valid ones; the group is then emitted whole and forgotten.
+    """(key, columns): rows by instance until a group has ``at_least`` valid ones; the group is then emitted whole and forgotten.
 
-    With ``wait_ms`` an incomplete group is dropped after so long without rows. State holds one instance's
-    unfinished rows; rows after an emission start a new group.
+    State holds the rows of unfinished groups only; rows after an emission start a new group. With ``wait_ms`` an
+    incomplete group is dropped after so long without rows.
     """
     fields = {f.name: f.dataType for f in stream.schema}
-    out_schema = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in [key, *columns]) + ", emitted int"
-    state_schema = ", ".join(f"`{c}` array<{fields[c].simpleString()}>" for c in columns) + ", emitted int"
+    out_schema = ", ".join(f"`{c}` {fields[c].simpleString()}" for c in [key, *columns])
+    state_schema = ", ".join(f"`{c}` array<{fields[c].simpleString()}>" for c in columns)
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = state.get if state.exists else tuple([] for _ in columns) + (0,)
-        lists, emitted = [list(x) for x in held[:-1]], held[-1]
+        lists = [list(x) for x in state.get] if state.exists else [[] for _ in columns]
         for b in batches:
             for c, xs in zip(columns, lists):
-                xs += [None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in b[c]]
+                xs += map(_plain, b[c])
         group = pd.DataFrame(dict(zip(columns, lists)))
         if len(group) >= at_least and valid(group):
-            emitted += 1
-            yield group.assign(**{key: name[0], "emitted": emitted})[[key, *columns, "emitted"]]
-            lists = [[] for _ in columns]
-        state.update((*lists, emitted))
+            if state.exists:
+                state.remove()
+            yield group.assign(**{key: name[0]})[[key, *columns]]
+            return
+        state.update(tuple(lists))
         if wait_ms is not None:
             state.setTimeoutDuration(wait_ms)
 
@@ -77,9 +83,31 @@ def accumulated_groups(stream: DataFrame, key: str, columns: list[str], at_least
     return stream.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", timeout)
 
 
-def last_chunk(stream: DataFrame, key: str, sequence: str, value: str) -> DataFrame:
-    """The chunk with the highest number of each request, updated as chunks come (chunks hold all text so far)."""
-    return stream.groupBy(key).agg(F.max_by(value, sequence).alias(value), F.max(sequence).alias(sequence))
+def last_chunk(stream: DataFrame, key: str, sequence: str, value: str, at: str, late: str = "1 hour", idle_ms: int = 6 * 3_600_000) -> DataFrame:
+    """(key, sequence, value): the chunk with the highest number of each request, updated as chunks come (chunks hold all text so far).
+
+    ``at`` is the time of a chunk. Chunks later than the watermark are dropped, and a request's state goes once
+    the watermark is ``idle_ms`` past its last chunk, so state holds the requests under way.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
+    out_schema = ", ".join(f"`{c}` {fields[c]}" for c in (key, sequence, value))
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, last = (tuple(state.get)[:2], state.get[2]) if state.exists else (None, 0)
+        for b in batches:
+            top = b.sort_values([sequence, value], na_position="first").iloc[-1]
+            if best is None or (top[sequence], str(top[value])) > (best[0], str(best[1])):
+                best = (_plain(top[sequence]), _plain(top[value]))
+            last = max(last, int(b[at].max().timestamp() * 1000))
+        state.update((*best, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame([(name[0], *best)], columns=[key, sequence, value])
+
+    rows = stream.where(F.col(sequence).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late).select(key, sequence, value, at)
+    return rows.groupBy(key).applyInPandasWithState(step, out_schema, f"s {fields[sequence]}, v {fields[value]}, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed(stream: DataFrame, at: str, key: str, value: str, window: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -1,13 +1,16 @@
 """Scans, sinks, streams and the forecast data set on small files."""
 
 import gzip
+import datetime
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import filters, forecast, metrics, registry, retrieval, splits, transforms
+from millrace.operators import filters, forecast, intervals, metrics, registry, retrieval, splits, transforms
 from millrace.sources import readers, sinks
 from millrace.streaming import jobs
 
@@ -73,10 +76,44 @@ def test_group_buffer_over_micro_batches(spark, tmp_path):
     out = jobs.drained(jobs.accumulated_groups(stream, "instance", ["v"], 2), label="t").collect()
     sizes = {}
     for r in out:
-        sizes.setdefault((r["instance"], r["emitted"]), []).append(r["v"])
+        sizes.setdefault((r["instance"], r["batch_id"]), []).append(r["v"])
     assert {k[0] for k in sizes} == {"a", "b"} and all(len(v) >= 2 for v in sizes.values()) and sum(map(len, sizes.values())) in (5, 6)
 
 
+def test_last_chunks_over_micro_batches(spark, tmp_path):
+    day = lambda h: datetime.datetime(2025, 1, 1) + datetime.timedelta(hours=h)
+    for i, rows in enumerate(([("a", 1, "x", day(0)), ("b", 2, None, day(0))], [("a", 3, "xyz", day(1)), ("a", 2, "xy", day(1)), ("c", None, "n", day(1))], [("b", 5, "q", day(30)), ("a", 1, "old", day(2))], [("b", 6, "r", day(40))])):
+        spark.createDataFrame(rows, "k string, n int, v string, at timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("k string, n int, v string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = jobs.drained(jobs.last_chunk(stream, "k", "n", "v", "at"), "update", "c").collect()
+    best = {}
+    for r in sorted(out, key=lambda r: r["batch_id"]):
+        best[r["k"]] = max(best.get(r["k"], (0, "")), (r["n"], r["v"] or ""))
+    assert best == {"a": (3, "xyz"), "b": (6, "r")}
+    nothing = jobs.drained(stream.where("false").select("k"), label="n")
+    assert nothing.count() == 0 and "batch_id" in nothing.columns
+
+
+def test_slices_follow_files_and_rows(spark, tmp_path):
+    for i in range(4):  # the largest file comes last by name, and a scan takes it first
+        spark.range(i * 100, i * 100 + 10 + 30 * i).coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    names = sorted(f for f in os.listdir(tmp_path / "t.parquet") if f.endswith(".parquet"))
+    want = [r["id"] for f in names for r in spark.read.parquet(str(tmp_path / "t.parquet" / f)).collect()]
+    got = readers.read(spark, f"{tmp_path}/t.parquet@[5:75]")
+    assert sorted(r["id"] for r in got.collect()) == sorted(want[5:75]) and got.columns == ["id"]
+    (tmp_path / "l.jsonl").write_text("\n".join(json.dumps({"x": i}) for i in range(20)))
+    assert sorted(r["x"] for r in readers.read(spark, f"{tmp_path}/l.jsonl@[3:7]").collect()) == [3, 4, 5, 6]
+
+
+def test_islands_of_a_hot_key(spark):
+    rng = random.Random(9)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("ab"), s := rng.randrange(4000), s + rng.choice([0, 1, 3, 400 if rng.random() < 0.02 else 2])) for _ in range(900)] + [(None, 1, 2), (None, 2, 5), ("a", None, 3), ("a", 9, 3)]
+    df = spark.createDataFrame(rows, "k string, start long, end long").repartition(7)
+    whole = {tuple(r) for r in intervals.merged(df, ["k"]).select("k", "start", "end").collect()}
+    assert {tuple(r) for r in intervals.merged_ranged(df, ["k"]).select("k", "start", "end").collect()} == whole and len(whole) > 100
+    assert intervals.merged_ranged(df.limit(0), ["k"]).count() == 0
+
+
 def test_retry_job_resumes(spark, tmp_path):
     spark.createDataFrame([(1, "ok"), (2, "aborted"), (3, None)], "i long, status string").write.parquet(str(tmp_path / "in"))
     base = str(tmp_path / "base")
