@@ -61,3 +61,40 @@ def tests_reward(required: Column, passed: Column) -> Column:
 def exit_reward(code: Column) -> Column:
     """1 for exit code 0; no run gives 0."""
     return F.coalesce((code == 0).cast("double"), F.lit(0.0))
+
+
+def overwrite_delta(new: np.ndarray, old: np.ndarray) -> bytes:
+    """What changed between two byte arrays of one length: the number of places (four bytes), the places, the new bytes."""
+    places = np.flatnonzero(new != old).astype("<u4")
+    return len(places).to_bytes(4, "little") + places.tobytes() + new[places].tobytes()
+
+
+def with_delta(old: np.ndarray, delta: bytes) -> np.ndarray:
+    """The array with a delta laid over it; doing so twice changes nothing."""
+    n = int.from_bytes(delta[:4], "little")
+    out = old.copy()
+    out[np.frombuffer(delta, "<u4", n, 4)] = np.frombuffer(delta, np.uint8, n, 4 + 4 * n)
+    return out
+
+
+def image_of(part: dict) -> tuple[str, bytes | str] | None:
+    """("bytes", content) of an image part given as data URI, base64 text or bytes, ("path", where) of one given by place; None for other parts.
+
+    The image is under ``image``, ``image_url`` (text, or a mapping with ``url``) or ``data``. Content is not decoded further.
+    """
+    value = next((part[k] for k in ("image", "image_url", "data") if part.get(k) is not None), None)
+    if isinstance(value, dict):
+        value = value.get("url")
+    if value is None or part.get("type", "image") not in ("image", "image_url", "input_image"):
+        return None
+    if isinstance(value, (bytes, bytearray)):
+        return "bytes", bytes(value)
+    if m := re.match(r"data:[^,;]*(;[^,]*)?,", value):
+        body = value[m.end() :]
+        return "bytes", base64.b64decode(body) if "base64" in (m[1] or "") else body.encode()
+    if re.match(r"[a-z][a-z0-9+.-]*://|/|\.{1,2}/", value, re.I) or re.search(r"\.(?:png|jpe?g|gif|webp|bmp)$", value, re.I):
+        return "path", value.removeprefix("file://")
+    try:
+        return "bytes", base64.b64decode(value, validate=True)
+    except ValueError:
+        return "path", value

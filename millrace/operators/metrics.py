@@ -6,6 +6,7 @@ aggregations with map-side combining.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +73,38 @@ def pass_at_k(n: Column, c: Column, k: int) -> Column:
     return F.when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(1 - product)
 
 
+def strict_pass_at_k(n: int, c: int, k: int) -> float:
+    """``pass_at_k`` of one group, for arguments that make sense; others are errors."""
+    if not 0 <= c <= n or not 1 <= k <= n:
+        raise ValueError(f"{c} of {n} right, k = {k}")
+    return 1.0 - math.prod((n - c - i) / (n - i) for i in range(k)) if n - c >= k else 1.0
+
+
+def maze_report(df: DataFrame, ks: Iterable[int], group: str = "group_index", size: int | None = None) -> DataFrame:
+    """(metric, value) of validated paths (group, success, optimal, reason).
+
+    pass@k and optimal_pass@k are means over the groups, rates and reason shares are over all paths. Groups of different
+    sizes, or of another than ``size``, are an error. No rows give no metrics.
+    """
+    ks = list(ks)
+    groups = df.groupBy(group).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in ("success", "optimal")])
+    sizes = groups.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if sizes["lo"] is None:
+        return df.sparkSession.createDataFrame([], "metric string, value double")
+    if sizes["lo"] != sizes["hi"] or (size is not None and sizes["lo"] != size) or any(not 1 <= k <= sizes["lo"] for k in ks):
+        raise ValueError(f"groups of {sizes['lo']} to {sizes['hi']} paths")
+    named = [(f"{prefix}pass@{k}", F.avg(pass_at_k(F.col("n"), F.col(c), k))) for k in ks for prefix, c in (("", "success"), ("optimal_", "optimal"))]
+    named += [(f"{c}_rate", F.sum(c) / F.sum("n")) for c in ("success", "optimal")]
+    one = groups.agg(*[v.alias(f"m{i}") for i, (_, v) in enumerate(named)])
+    rates = one.select(F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"m{i}").alias("value")) for i, (name, _) in enumerate(named)])).alias("r")).select("r.*")
+    return rates.unionByName(shares(df, "reason").select(F.concat(F.lit("reason/"), "reason").alias("metric"), F.col("share").alias("value")))
+
+
+def maze_train_metrics(df: DataFrame) -> DataFrame:
+    """(metric, value): success and optimal rate and the share of each reason, over all paths."""
+    return maze_report(df.withColumn("_all", F.lit(0)), (), "_all")
+
+
 def group_counts(df: DataFrame, group: str = "group_index", reward: str = "reward") -> DataFrame:
     return df.where(F.col(reward).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum((F.col(reward) == 1).cast("long")).alias("c"))
 
@@ -168,6 +201,30 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float) ->
     return rows.select("bin", (F.lit(low) + (F.col("bin") - 1) * width).alias("low"), (F.lit(low) + F.col("bin") * width).alias("high"), "n")
 
 
+def adaptive_histogram(df: DataFrame, column: str, bins: int, tail: float = 0.005) -> DataFrame:
+    """(bin, low, high, n): at most ``bins`` equal bins between the ``tail`` quantiles, open bins (null ends) below and above.
+
+    There are no more bins than distinct values between; a single value gets a bin of length 1 around it. The last
+    inner bin is closed. Nulls and NaN are no values; without any there are no bins.
+    """
+    own = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("_x"))
+    q = exact_quantiles(own, "_x", {"_low": tail, "_high": 1 - tail}).first()
+    if q is None or q["_low"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
+    inner = own.where(F.col("_x").between(q["_low"], q["_high"]))
+    ends = inner.agg(F.min("_x").alias("a"), F.max("_x").alias("b"), F.count_distinct("_x").alias("d")).first()
+    count = min(bins, ends["d"])
+    a, b = (ends["a"] - 0.5, ends["b"] + 0.5) if ends["d"] == 1 else (ends["a"], ends["b"])
+    width = (b - a) / count
+    at = F.least(F.floor((F.col("_x") - a) / width).cast("int") + 1, F.lit(count))
+    bucket = F.when(F.col("_x") < q["_low"], 0).when(F.col("_x") > q["_high"], count + 1).otherwise(at)
+    rows = own.groupBy(bucket.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(count + 2).select(F.col("id").cast("int").alias("bin"))  # empty bins too
+    low = F.when(F.col("bin") == count + 1, q["_high"]).when(F.col("bin") > 0, a + (F.col("bin") - 1) * width)
+    high = F.when(F.col("bin") == 0, q["_low"]).when(F.col("bin") <= count, a + F.col("bin") * width)
+    return every.join(F.broadcast(rows), "bin", "left").select("bin", low.alias("low"), high.alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def bernoulli_log_likelihood(p: Column, label: Column, eps: float = 1e-6) -> Column:
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     return F.when(label == 1, F.log(q)).otherwise(F.log(1 - q))

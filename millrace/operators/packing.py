@@ -89,14 +89,20 @@ class _Reversed:
         return self.key == other.key
 
 
-def greedy(weights: Sequence[int], k: int) -> Bins:
-    """Items in their order to the lightest part, the first among ties."""
+def greedy(weights: Sequence[int], k: int, equal_size: bool = False) -> Bins:
+    """Items in their order to the lightest part, the first among ties.
+
+    With ``equal_size`` the part with the fewest items comes first, then the lightest; a number of items that is no multiple
+    of ``k`` is an error.
+    """
+    if equal_size and len(weights) % k:
+        raise ValueError(f"{len(weights)} items don't make {k} parts of one size")
     parts: Bins = [[] for _ in range(k)]
-    heap = [(0, j) for j in range(k)]
+    heap = [(0, 0, j) for j in range(k)]
     for i, w in enumerate(weights):
-        total, j = heapq.heappop(heap)
+        items, total, j = heapq.heappop(heap)
         parts[j].append(i)
-        heapq.heappush(heap, (total + w, j))
+        heapq.heappush(heap, (items + equal_size, total + w, j))
     return parts
 
 

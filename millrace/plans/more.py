@@ -184,11 +184,13 @@ def j9_size_chunks(spark: SparkSession, d: str) -> DataFrame:
     return run_chunks(table(spark, d, "documents"), 20_000, 100_000)
 
 
-@query("""SELECT i AS rollout, (i + 1) % 20 = 0 OR (i + 1) % 64 = 0 OR i = 499 AS fires FROM (SELECT unnest(range(0, 500)) AS i)""")
+@query("""SELECT i AS rollout, (i + 1) % 20 = 0 OR (i + 1) % 64 = 0 OR i = (SELECT max(rollout_id) FROM samples) AS fires FROM (SELECT DISTINCT rollout_id AS i FROM samples WHERE rollout_id IS NOT NULL)""")
 def j10_periodic_action(spark: SparkSession, d: str) -> DataFrame:
     """Rollouts at which a periodic action fires: every 20th, at the end of an epoch of 64, and the last."""
+    r = table(spark, d, "samples").where("rollout_id is not null").select(F.col("rollout_id").alias("rollout")).distinct()
+    last = r.agg(F.max("rollout")).first()[0]
     i = F.col("rollout")
-    return spark.range(500).withColumnRenamed("id", "rollout").select("rollout", (((i + 1) % 20 == 0) | ((i + 1) % 64 == 0) | (i == 499)).alias("fires"))
+    return r.select("rollout", (((i + 1) % 20 == 0) | ((i + 1) % 64 == 0) | (i == F.lit(last))).alias("fires"))
 
 
 @query("""SELECT sample_indices AS sample_index, CAST(2 * 4 * ceil(len(tokens) / 8.0) AS BIGINT) AS padded, CAST(ceil(len(tokens) / 8.0) AS BIGINT) AS chunk FROM (SELECT sample_indices, max(tokens) AS tokens FROM train_data WHERE sample_indices IS NOT NULL AND tokens IS NOT NULL GROUP BY 1)""")

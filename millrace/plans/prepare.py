@@ -87,13 +87,14 @@ def c31_compact_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def c2_c3_media_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts with two placed images split into typed parts."""
+    """Prompts with two placed images more, split into typed parts; placeholders that a prompt has of its own take images too."""
 
     def parts(prompt):
-        items = content.split_media(f"<image>{prompt}<image>", {"image": ["a.png", "b.png"]})
+        text = f"<image>{prompt}<image>"
+        items = content.split_media(text, {"image": [f"{i}.png" for i in range(text.count("<image>"))]})
         return "|".join(p["type"] for p in items)
 
-    s = table(spark, d, "samples").where("prompt is not null and not contains(prompt, '<image>')").select("sample_index", "prompt").distinct()
+    s = table(spark, d, "samples").where("prompt is not null").select("sample_index", "prompt").distinct()
     return s.select("sample_index", batched(parts, "string")("prompt").alias("parts"))
 
 

@@ -208,12 +208,6 @@ def d10_newest_groups(spark: SparkSession, d: str) -> DataFrame:
     return filters.newest_groups(s, "group_index", "created_at", 50).select("sample_index", "group_index").distinct()
 
 
-@query(f"""WITH {S} SELECT rollout_id, count(DISTINCT group_index) AS groups, count(*) AS siblings FROM s GROUP BY 1 HAVING count(DISTINCT group_index) > 1""")
-def d16_sibling_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Violations: rollouts whose siblings belong to several groups."""
-    return samples(spark, d).groupBy("rollout_id").agg(F.count_distinct("group_index").alias("groups"), F.count("*").alias("siblings")).where("groups > 1")
-
-
 @query(f"""WITH {S}, e AS (SELECT sample_index AS id FROM s), p AS (SELECT sample_index + 3 AS id, reward FROM s), c AS (SELECT id, count(*) AS times, max(CASE WHEN reward IS NULL OR isnan(reward) OR isinf(reward) THEN 1 ELSE 0 END) AS bad FROM p GROUP BY 1)
 SELECT coalesce(sum(CASE WHEN c.id IS NULL THEN 1 ELSE 0 END), 0)::BIGINT AS missing, coalesce(sum(CASE WHEN e.id IS NULL THEN 1 ELSE 0 END), 0)::BIGINT AS unexpected, coalesce(sum(CASE WHEN times > 1 THEN 1 ELSE 0 END), 0)::BIGINT AS duplicate, coalesce(sum(CASE WHEN bad = 1 THEN 1 ELSE 0 END), 0)::BIGINT AS non_finite FROM e FULL JOIN c ON e.id = c.id""")
 def d17_prediction_coverage(spark: SparkSession, d: str) -> DataFrame:
