@@ -12,8 +12,9 @@ from millrace.runtime import bounded_broadcast
 
 
 def shuffled_key(key: Column, seed: int | Column) -> Column:
-    """Sort key of a deterministic shuffle."""
-    return F.xxhash64(seed if isinstance(seed, Column) else F.lit(seed), key)
+    """Sort key of a deterministic shuffle: the MD5 of seed and key as text, which any engine can repeat. A null key counts as empty."""
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat(seed, F.lit("|"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
@@ -84,7 +85,7 @@ def apportioned(df: DataFrame, stratum: str, key: str, shares: list[tuple[str, f
         total = total + c
         ends.append(total)
     bounds = sizes.select(stratum, *[e.cast("long").alias(f"_e{i}") for i, e in enumerate(ends)])
-    hashed = df.withColumn("_h", shuffled_key(F.col(key), F.xxhash64(F.lit(seed), F.col(stratum))))
+    hashed = df.withColumn("_h", shuffled_key(F.col(key), F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(stratum).cast("string"), F.lit("")))))
     placed = positioned(hashed, ["_h", key], "_k", 1, [stratum]).drop("_h").join(bounded_broadcast(bounds), stratum)
     part = F.lit(shares[-1][0])
     for i in range(len(shares) - 2, -1, -1):

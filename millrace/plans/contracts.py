@@ -187,6 +187,38 @@ def f18_strict_retry(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("sample_index", "score", r6(advantages.tool_shaped(F.col("score"), F.coalesce("turns", F.lit(2)))).alias("shaped"))
 
 
+@query()
+def e6_sample_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """(source, responses, effective length statistics, truncated ratio, share of repetitive responses, share of groups without spread)."""
+    s = table(spark, d, "samples").select("sample_index", "source", "group_index", "response", "response_length", "status", "reward").distinct()
+    lengths = metrics.statistics(s, "response_length", ["source"]).drop("n")
+    per = s.groupBy("source").agg(F.count("*").alias("responses"), r6(F.avg((F.col("status") == "truncated").cast("double"))).alias("truncated_ratio"), r6(F.avg(batched(G.repetitive, "boolean")("response").cast("double"))).alias("repetitive"))
+    spread = s.groupBy("source", "group_index").agg(F.stddev_samp("reward").alias("std"))
+    flat = spread.groupBy("source").agg(r6(F.avg((~F.coalesce(F.col("std") > 1e-6, F.lit(False))).cast("double"))).alias("zero_std_groups"))
+    named = lambda df, k: df.withColumnRenamed("source", k)
+    out = per.join(named(lengths, "s1"), F.col("source").eqNullSafe(F.col("s1")), "left").join(named(flat, "s2"), F.col("source").eqNullSafe(F.col("s2")), "left")
+    return out.drop("s1", "s2")
+
+
+@query()
+def k4_k7_search_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """Search transcripts made of each response: every third without information, every fifth with another answer."""
+
+    def score(i, response, label):
+        i, found = int(i), "" if int(i) % 3 == 0 else f"<information>It is {label}.</information>"
+        text = f"<think>{response}</think><search>what</search>{found}<think>so</think><answer>{label if i % 5 else 'nothing'}</answer>"
+        return G.search_reward(f"<answer>x</answer>{text}", [str(label)])
+
+    s = table(spark, d, "samples").where("label is not null").select("sample_index", F.coalesce("response", F.lit("")).alias("response"), "label").distinct()
+    return s.select("sample_index", r6(batched(score, "double")("sample_index", "response", "label")).alias("reward"))
+
+
+@query()
+def k9_normalized_math(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "samples").select("sample_index", "response").distinct()
+    return p.select("sample_index", batched(lambda r: G.normalize_math(G.last_boxed(r)), "string")("response").alias("normalized"))
+
+
 # -- joins --------------------------------------------------------------------------------
 
 

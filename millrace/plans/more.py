@@ -138,7 +138,7 @@ def i4_final_partial_batch(spark: SparkSession, d: str) -> DataFrame:
     return p.select("problem_id", F.floor(F.col("p") / 64).alias("batch"))
 
 
-@query()
+@query("""SELECT problem_id, CASE WHEN row_number() OVER (ORDER BY md5('7|' || problem_id), problem_id) - 1 < (SELECT count(*) FROM problems) // 10 THEN 'test' ELSE 'train' END AS part FROM problems""")
 def i11_shuffled_holdout(spark: SparkSession, d: str) -> DataFrame:
     """A tenth of the problems, the first of a seeded shuffle, is held out."""
     p = splits.epoch_order(table(spark, d, "problems").select("problem_id"), "problem_id", 7, 0)

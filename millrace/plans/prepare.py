@@ -111,7 +111,19 @@ def d14_unambiguous_units(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "problems").where("retained_for_merge and unit_classification <> 'unit_required_but_unspecified'").select("problem_id", "retained_for_merge")
 
 
-@query()
+#: log10 of a positive decimal number in SQL, null for anything else
+_LOG10 = r"""CASE WHEN regexp_full_match(answer_value, '\s*\+?((\d{1,3}(,\d{3})+|\d+)(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*') AND TRY_CAST(replace(trim(answer_value), ',', '') AS DOUBLE) > 0 THEN log10(CAST(replace(trim(answer_value), ',', '') AS DOUBLE)) END"""
+_FIRST = "lower(trim(string_split(problem_source, '|')[1]))"
+
+
+@query(f"""SELECT problem_id, round({_LOG10}, 6) + 0.0 AS log10_positive FROM problems""")
+def k21_positive_log10(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.functions import grading
+
+    return table(spark, d, "problems").select("problem_id", r6(batched(grading.positive_log10, "double")("answer_value")).alias("log10_positive"))
+
+
+@query(f"""SELECT problem_id, round({_LOG10}, 6) + 0.0 AS log10_answer, CASE WHEN {_FIRST} LIKE 'synthfp%' THEN 'SynthFP' WHEN {_FIRST} LIKE 'realfp%' THEN 'RealFP' WHEN {_FIRST} LIKE 'fermi-eval%' THEN 'Fermi-Eval' END AS collection FROM problems WHERE {_LOG10} BETWEEN -100 AND 100""")
 def d13_curated_problems(spark: SparkSession, d: str) -> DataFrame:
     """Problems whose positive answer lies within 100 decades of 1, with its logarithm and collection."""
     from millrace.functions import grading

@@ -255,7 +255,8 @@ def i7_time_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.time_cut(table(spark, d, "orders"), "o_orderdate", 1000).select(F.col("cut").cast("date").cast("string").alias("cut"))
 
 
-@query()
+@query("""WITH f AS (SELECT run_id, count(*) AS rows FROM documents WHERE run_id IS NOT NULL GROUP BY 1), p AS (SELECT *, row_number() OVER w - 1 AS place, sum(rows) OVER w AS running, count(*) OVER () AS n FROM f WINDOW w AS (ORDER BY md5('42|' || run_id), run_id)),
+b AS (SELECT arg_min(place, ROW(abs(running - 100), place)) AS best FROM p WHERE place < n - 1) SELECT run_id, rows, CASE WHEN place <= best THEN 'eval' ELSE 'train' END AS part FROM p, b""")
 def i8_family_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.family_split(table(spark, d, "documents").where("run_id is not null"), "run_id", 100, 42)
 
@@ -275,7 +276,7 @@ def i5_i6_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return splits.first_wins(p, ["question"], ["ingested_at", "problem_id"]).select("problem_id", "question")
 
 
-@query()
+@query("""WITH n AS (SELECT count(*) AS n FROM problems), e AS (SELECT problem_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY md5((42 + epoch) || '|' || problem_id), problem_id) - 1 AS position FROM problems, (SELECT unnest([0, 1]) AS epoch)) SELECT CAST(epoch AS INT) AS epoch, position, problem_id FROM e, n WHERE (epoch = 0 AND position >= n - 20) OR (epoch = 1 AND position < 30)""")
 def i2_i3_epoch_batches(spark: SparkSession, d: str) -> DataFrame:
     """A batch that spans the end of one epoch and the start of the next."""
     p = table(spark, d, "problems").select("problem_id")

@@ -46,6 +46,15 @@ def e2_pass_at_k(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pass_rates(samples(spark, d)).select("k", r6("pass_rate").alias("pass_rate"), "groups")
 
 
+@query("""WITH s AS (SELECT DISTINCT sample_indices, rollout_ids AS group_index, raw_reward AS reward FROM train_data), g AS (SELECT group_index, count(*) AS n, sum(CASE WHEN reward = 1 THEN 1 ELSE 0 END) AS c FROM s WHERE reward IS NOT NULL GROUP BY 1),
+k AS (SELECT unnest([1, 2, 4, 8]) AS k), p AS (SELECT k, CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0 ELSE 1 - (SELECT exp(sum(ln(1 - CAST(k AS DOUBLE) / i))) FROM (SELECT unnest(range(CAST(n - c + 1 AS BIGINT), CAST(n + 1 AS BIGINT))) AS i)) END AS p FROM g, k WHERE n >= k)
+SELECT k, round(avg(p), 6) + 0.0 AS pass_rate, count(*) AS groups FROM p GROUP BY k""")
+def e17_raw_pass_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the raw rewards of the training rows, by rollout."""
+    t = table(spark, d, "train_data").select("sample_indices", F.col("rollout_ids").alias("group_index"), F.col("raw_reward").alias("reward")).distinct()
+    return metrics.pass_rates(t).select("k", r6("pass_rate").alias("pass_rate"), "groups")
+
+
 @query(f"""WITH {S} SELECT source, round(avg(response_length), 6) + 0.0 AS mean, median(response_length) AS median, max(response_length) AS max, min(response_length) AS min FROM s GROUP BY source""")
 def e1_length_statistics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.statistics(samples(spark, d), "response_length", ["source"]).withColumn("mean", r6("mean")).drop("n")
