@@ -67,3 +67,45 @@ def first_rule(text: Column, rules: Iterable[tuple[str, str]], other: str) -> Co
         holds = F.contains(F.lower(text), F.lit(part))
         out = F.when(holds, name) if out is None else out.when(holds, name)
     return out.otherwise(other)
+
+
+# Kinds of kernels by what their names hold, in this order; a name must hold one of each group of parts.
+KERNEL_RULES = (
+    ((("nccl",),), "NCCL Communication"),
+    ((("deep_ep",), ("dispatch",)), "DeepEP Dispatch (MoE)"),
+    ((("deep_ep",), ("combine",)), "DeepEP Combine (MoE)"),
+    ((("deep_ep",), ("clean",)), "DeepEP Buffer Clean"),
+    ((("deep_ep",),), "DeepEP (other)"),
+    ((("flash",), ("attn",)), "Flash Attention"),
+    ((("sparse_attn",),), "Sparse Attention (MLA)"),
+    ((("paged_mqa",),), "Paged MQA/MLA Logits"),
+    ((("attention", "fmha"),), "Attention (other)"),
+    ((("deep_gemm", "sm90_fp8_gemm"),), "DeepGEMM (FP8)"),
+    ((("nvjet",),), "NvJet GEMM"),
+    ((("gemm", "cutlass", "matmul", "cublas"),), "GEMM/MatMul (other)"),
+    ((("topk",),), "TopK / MoE Routing"),
+    ((("quant",),), "Quantization (FP8)"),
+    ((("norm",),), "Normalization"),
+    ((("triton", "fused"),), "Fused/Triton Kernels"),
+    ((("elementwise",),), "Elementwise Ops"),
+    ((("reduce", "softmax"),), "Reduce/Softmax"),
+    ((("embedding",),), "Embedding"),
+    ((("memcpy", "memset"),), "Memory Ops"),
+    ((("index", "scatter", "gather"),), "Index/Gather/Scatter"),
+    ((("cat",), ("batched",)), "Concat/Cat"),
+)
+OTHER_KERNEL = "Other Compute"
+
+
+def kernel_kind(name: Column) -> Column:
+    """Kind of a kernel by its name, case disregarded; null for null."""
+    low, out = F.lower(name), None
+    for groups, kind in KERNEL_RULES:
+        holds = F.lit(True)
+        for parts in groups:
+            one = F.lit(False)
+            for part in parts:
+                one = one | F.contains(low, F.lit(part))
+            holds = holds & one
+        out = F.when(holds, kind) if out is None else out.when(holds, kind)
+    return out.when(name.isNotNull(), OTHER_KERNEL)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import grading as G
 from millrace.functions.udfs import batched
-from millrace.operators import advantages, eval_config, intervals, joins, metrics, training
+from millrace.operators import advantages, eval_config, intervals, joins, metrics, rollouts, training
 from millrace.plans.base import S, r6, samples
 from millrace.plans.relational import E, SPAN, events
 from millrace.runtime import shared_dir, table
@@ -219,6 +219,53 @@ def k9_normalized_math(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_index", batched(lambda r: G.normalize_math(G.last_boxed(r)), "string")("response").alias("normalized"))
 
 
+# -- between generation and training ------------------------------------------------------
+
+
+@query("""SELECT sample_index, k AS sibling, sample_index AS rollout_id FROM (SELECT DISTINCT sample_index FROM samples WHERE sample_index IS NOT NULL), (SELECT unnest(range(3)) AS k) WHERE k <= sample_index % 3""")
+def o_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "samples").where("sample_index is not null").select("sample_index").distinct()
+    return rollouts.fan_out(s, "sample_index", 3).select("sample_index", "sibling", "rollout_id")
+
+
+@query("""SELECT sample_index, CAST(least(sample_index % 5, 2) AS INT) + 1 AS attempts, sample_index % 5 > 2 AS given_up FROM (SELECT DISTINCT sample_index FROM samples WHERE sample_index IS NOT NULL)""")
+def l2_requeued_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples that fail index % 5 times, with at most three attempts."""
+    s = table(spark, d, "samples").where("sample_index is not null").select("sample_index").distinct()
+    out = rollouts.requeued(s, lambda rows, attempt: rows.withColumn("status", F.when(F.col("sample_index") % 5 >= attempt, "aborted").otherwise("completed")), "status = 'aborted'", 3)
+    return out.select("sample_index", "attempts", "given_up")
+
+
+@query("""WITH r AS (SELECT group_index, k FROM (SELECT DISTINCT group_index FROM samples WHERE group_index IS NOT NULL), (SELECT unnest(range(8)) AS k)), f AS (SELECT group_index, count(DISTINCT sample_index) AS n FROM samples WHERE status = 'completed' AND group_index IS NOT NULL GROUP BY 1) SELECT r.group_index, CAST(k // 4 AS INT) AS round, CAST(k % 4 AS INT) AS copy FROM r LEFT JOIN f USING (group_index) WHERE k >= coalesce(n, 0)""")
+def l15_open_repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Eight places of each group (two rounds of four), less one for each sample that is done."""
+    g = table(spark, d, "samples").where("group_index is not null").select("group_index").distinct()
+    done = table(spark, d, "samples").where("status = 'completed'").select("group_index", "sample_index").distinct()
+    return rollouts.without_finished(rollouts.repeated(g, 2, 4), done, "group_index", ["round", "copy"])
+
+
+@query("""WITH e AS (SELECT problem_id, row_number() OVER (ORDER BY md5('5|' || problem_id), problem_id) - 1 AS position FROM problems) SELECT 0 AS epoch, position, problem_id FROM e WHERE position >= 60 AND position < 90""")
+def l5_resumed_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of thirty are taken and the cursor is saved; the third comes from the restored one."""
+    p = table(spark, d, "problems").select("problem_id")
+    n = p.count()
+    cursor = rollouts.Cursor("problem_id", 5, n)
+    for _ in range(2):
+        cursor.take(p, 30)
+    return rollouts.Cursor.restored(cursor.saved(), n).take(p, 30).select("epoch", "position", "problem_id")
+
+
+_SNIPPETS = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{p}'" for p in rollouts.UNSAFE)
+
+
+@query(f"SELECT doc_id, CASE {_SNIPPETS} END AS reason FROM documents WHERE text IS NOT NULL")
+def o_unsafe_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The first unsafe pattern that a text holds, imports apart."""
+    t = table(spark, d, "documents").where("text is not null")
+    reason = rollouts.unsafe_reason(F.col("text"), ())
+    return t.select("doc_id", F.when(~reason.startswith("import of "), reason).alias("reason"))
+
+
 # -- joins --------------------------------------------------------------------------------
 
 

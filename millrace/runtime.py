@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,7 +28,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset and the master is local, a temporary folder is used; on a cluster
+    Only where that is unset and the master is local, a temporary folder is used and removed at the end; on a cluster
     without the setting this raises, as a machine-local folder would be lost with its machine.
     """
     sc = spark.sparkContext
@@ -39,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        folder = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         current = sc.getCheckpointDir()
     return current
 
