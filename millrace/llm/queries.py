@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_records": _with("problems", "raw_records")(format_dedup.deduplicated),
     "p4_collisions": _with("problems", "raw_records")(format_dedup.collided),
     "p5_found": _with("problems")(split_overlap.found),
+    "p5_classes": _with("problems")(split_overlap.classes_with_links),
     "p5_report": _with("problems")(split_overlap.report),
     "p7_found": _with("samples", "train_data", "turns", "documents")(response_defects.found),
     "p7_defects": _with("samples", "train_data", "turns", "documents")(response_defects.labelled),

@@ -219,6 +219,20 @@ def overlaps(problems: DataFrame) -> DataFrame:
     return links.join(train, ["a1", "a2"]).join(other, ["b1", "b2"]).select("train_id", "eval_id", "exact")
 
 
+def classes_with_links(problems: DataFrame) -> DataFrame:
+    """(problem_id, class_id, same, links): each question with the class of equal ones, whether that stands on both sides, and how many classes of the other side are near it.
+
+    Needs no expansion of copies or pairs of rows.
+    """
+    members, classes = question_classes(problems)
+    near = cut(near_classes(classes))
+    ends = near.select(F.col("a1").alias("c1"), F.col("a2").alias("c2"), F.lit(0).alias("side")).unionByName(near.select(F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.lit(1).alias("side")))
+    counts = ends.groupBy("c1", "c2", "side").agg(F.count("*").alias("links"))
+    both = classes.select("c1", "c2", (F.col("lo") != F.col("hi")).alias("same"))
+    rows = members.join(both, ["c1", "c2"]).join(counts, ["c1", "c2", "side"], "left")
+    return rows.select("problem_id", F.format_string("%016x%016x", "c1", "c2").alias("class_id"), "same", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def found(problems: DataFrame) -> DataFrame:
     """(id_a, id_b), the smaller id first."""
     pairs = overlaps(problems)

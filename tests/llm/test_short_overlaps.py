@@ -43,3 +43,11 @@ def test_blocks_grow_with_the_length():
     for n in (42, 400, 4_000, 40_000):
         _, _, blocks = split_overlap.fingerprints(np.arange(n) * 7919, np.array([n]), counts)
         assert 0 < blocks[0] <= 4 * n
+
+
+def test_classes_with_their_links(spark):
+    texts = [("red green blue grey pink", "train"), ("Red, green blue grey pink!", "val"), ("red green blue grey", "test"), ("one two six ten", "val"), ("red green blue grey pink", "train"), (None, "train")]
+    df = spark.createDataFrame([(i, q, "1", None, None, "X | s | 1", None, s, None) for i, (q, s) in enumerate(texts)], RECORD)
+    got = {r["problem_id"]: r for r in split_overlap.classes_with_links(df).collect()}
+    assert set(got) == {0, 1, 2, 3, 4} and got[0]["class_id"] == got[1]["class_id"] == got[4]["class_id"] != got[2]["class_id"]
+    assert {i: (r["same"], r["links"]) for i, r in got.items()} == {0: (True, 1), 1: (True, 0), 2: (False, 1), 3: (False, 0), 4: (True, 1)}
