@@ -155,7 +155,7 @@ def test_registry(spark):
         registry.resolve("expr", "nothing")
     assert registry.grade("math", r"\boxed{3}", "3") == 1.0 and registry.grade(None, "x", "y") is None and registry.grade("f1", None, "y") == 0.0
     assert registry.grade("boxed_f1", r"it is \boxed{Paris}", "Paris") == 1.0 and registry.grade("boxed_f1", "Paris", "Paris") == 0.0 and registry.grade("boxed_math", r"\boxed{3}", "3") == 0.0
-    assert registry.grade("dapo", "Answer: 42", "42") == 1.0 and registry.grade("dapo", "42", "42") == -1.0 and registry.grade("dapo", "Answer: 1", "one") is None
+    assert registry.grade("dapo", "Answer: 42", "42") == 1.0 and registry.grade("dapo", "42", "42") == -1.0 and registry.grade("dapo", "Answer: 1", "one") is None and registry.grade("dapo", "Answer: 1", None) is None
     assert registry.grade("f1", "Answer: B", "x", '{"rm_type": "gpqa", "correct_letter": "B"}') == 1.0 and registry.grade("f1", "x", "x", "no json") == 1.0
     with pytest.raises(NotImplementedError):
         registry.grade("bleu", "x", "y")
