@@ -32,6 +32,15 @@ def test_math_equality(given, truth, equal):
     assert grading.equal_math(given, truth) is equal
 
 
+@pytest.mark.parametrize(
+    ("given", "truth", "equal"),
+    [("x+1", "1+x", True), (r"\sqrt{8}", r"2\sqrt{2}", True), (r"\frac{x}{2}", "x/2", True), ("2x(x-1)", "2x^2-2x", True), (r"3\pi", r"\pi\cdot 3", True), ("x^2-y^2", "(x-y)(x+y)", True), ("xy", "yx", True), (r"\frac{1}{\sqrt{2}}", r"\frac{\sqrt{2}}{2}", True), (r"\sqrt[3]{8x}", r"2\sqrt[3]{x}", True), ("-x", "0-x", True),
+     ("x+1", "x+2", False), ("x", "y", False), ("x+y+z", "z+y+x", False), ("x^{2}", "x*x", False), ("2+3", "5", False), ("x/0", "x/0+1", False), ("red", "der", False), ("x+", "x", False), ("(x", "x", False), (r"\sin x", r"\sin{x}", False), ("(x+1, 2)", "(1+x, 2)", True), ("x" * 500 + "+1", "1+" + "x" * 500, False), ("(" * 300, "x", False)],
+)
+def test_formulas(given, truth, equal):
+    assert grading.equal_math(given, truth) is equal
+
+
 def test_math_rewards():
     assert grading.math_reward(r"so \boxed{5}", "5") == 1 and grading.math_reward("so 5", "5") == 0 and grading.math_reward(r"\boxed{5}", r"\boxed{5}") == 1
     assert grading.reasoned_math_reward(r"<think>x</think> \boxed{5}", "5") == 1 and grading.reasoned_math_reward(r"\boxed{5}", "5") == 0
