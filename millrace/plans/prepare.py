@@ -10,6 +10,7 @@ from millrace.functions import content, unit_audit
 from millrace.functions import tokens as K
 from millrace.functions.udfs import batched
 from millrace.operators import filters, transforms
+from millrace.operators.units import scaled_unit
 from millrace.plans.base import r6
 from millrace.runtime import table
 
@@ -135,13 +136,17 @@ def d13_curated_problems(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k25_unit_audit(spark: SparkSession, d: str) -> DataFrame:
-    schema = "struct<classification: string, unit: string, reason: string, confidence: string, needs_review: boolean>"
+    """The audit of the question, and of the row: a unit in one of the two unit columns is a stated one too."""
+    schema = "struct<classification: string, unit: string, reason: string, confidence: string, needs_review: boolean, row_classification: string>"
 
     @F.pandas_udf(schema)
-    def run(q: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([unit_audit.audit(x) for x in q], columns=["classification", "unit", "reason", "confidence", "needs_review"])
+    def run(q: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
+        audits = [unit_audit.audit(x) for x in q]
+        rows = [unit_audit.EXPLICIT if any(t and scaled_unit(t) for t in units) else a[0] for a, units in zip(audits, zip(u, v))]
+        return pd.DataFrame([(*a, r) for a, r in zip(audits, rows)], columns=["classification", "unit", "reason", "confidence", "needs_review", "row_classification"])
+
+    return table(spark, d, "problems").select("problem_id", run("question", "answer_unit", "specified_answer_unit").alias("a")).select("problem_id", "a.*")
 
-    return table(spark, d, "problems").select("problem_id", run("question").alias("a")).select("problem_id", "a.*")
 
 
 @query("""WITH t AS (SELECT sample_index, list_distinct(list(name)) AS seen FROM trace_events WHERE sample_index IS NOT NULL GROUP BY 1) SELECT sample_index, CASE WHEN list_contains(seen, 'reward') AND list_contains(seen, 'sglang_generate') THEN 1.0 ELSE 0.0 END AS reward FROM t""")

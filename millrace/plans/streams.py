@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,20 @@ def l1_buffered_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("group_index").agg(F.count("*").alias("rows"))
 
 
+@query("""WITH s AS (SELECT DISTINCT group_index, sample_index, reward FROM samples WHERE group_index IS NOT NULL AND sample_index IS NOT NULL), c AS (SELECT group_index, count(*) FILTER (sample_index % 3 = 0) AS c0, count(*) FILTER (sample_index % 3 = 1) AS c1, count(*) FILTER (sample_index % 3 = 2) AS c2 FROM s GROUP BY 1),
+a AS (SELECT *, CASE WHEN c0 >= 3 THEN c0 ELSE 0 END AS e0, CASE WHEN c0 >= 3 THEN 0 ELSE c0 END AS r0 FROM c), b AS (SELECT *, CASE WHEN r0 + c1 >= 3 THEN r0 + c1 ELSE 0 END AS e1, CASE WHEN r0 + c1 >= 3 THEN 0 ELSE r0 + c1 END AS r1 FROM a), d AS (SELECT *, CASE WHEN r1 + c2 >= 3 THEN r1 + c2 ELSE 0 END AS e2 FROM b)
+SELECT group_index, CAST(0 AS BIGINT) AS batch_id, e0 AS rows FROM d WHERE e0 > 0 UNION ALL SELECT group_index, 1, e1 FROM d WHERE e1 > 0 UNION ALL SELECT group_index, 2, e2 FROM d WHERE e2 > 0""")
+def l1_buffer_over_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The samples come as three micro-batches; a group is emitted whole and forgotten once it has three rows, later rows start it anew."""
+    base = f"{shared_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex}"
+    rows = table(spark, d, "samples").where("group_index is not null and sample_index is not null").select("group_index", "sample_index", "reward").distinct()
+    for k in range(3):  # one after the other, so that the files' times give the order
+        rows.where(F.col("sample_index") % 3 == k).coalesce(1).write.parquet(f"{base}/{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+    out = jobs.drained(jobs.accumulated_groups(stream, "group_index", ["sample_index", "reward"], 3), label="groups")
+    return out.groupBy("group_index", "batch_id").agg(F.count("*").alias("rows"))
+
+
 @query("""SELECT session_id, max(turn) AS turn, arg_max(finish_reason, turn) AS finish_reason FROM turns WHERE session_id IS NOT NULL AND finish_reason IS NOT NULL GROUP BY 1""")
 def l3_last_chunks(spark: SparkSession, d: str) -> DataFrame:
     s = jobs.table_stream(spark, f"{d}/turns.parquet").where("session_id is not null and finish_reason is not null")
@@ -45,8 +61,6 @@ def filters_latest(df: DataFrame, key: str) -> DataFrame:
 
 @query("""SELECT 'retry' AS sink, count(*) AS n FROM samples WHERE status IN ('aborted', 'failed') UNION ALL SELECT 'done', count(*) FROM samples WHERE status IS NULL OR status NOT IN ('aborted', 'failed')""")
 def l2_retry_sink(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
     base = f"{shared_dir(spark).rstrip('/')}/retry-{uuid.uuid4().hex}"
     jobs.with_retries(jobs.table_stream(spark, f"{d}/samples.parquet").select("sample_index", "status"), "status in ('aborted', 'failed')", base)()
     sinks = [spark.read.schema("sample_index long, status string").parquet(f"{base}/{k}/*").agg(F.lit(k).alias("sink"), F.count("*").alias("n")) for k in ("retry", "done")]

@@ -107,3 +107,14 @@ def test_hidden_units_of_the_tables(spark, sf):
     sure = [r for r in out if r["status"] == "assigned" and r["dimension"] == hidden[r["id"]]["dimension"]]
     assert len(out) == len(hidden) and len(sure) < len(out) / 2
     assert sum(r["unit"] == hidden[r["id"]]["unit_name"] for r in sure) >= 0.9 * len(sure)
+
+
+def test_audit_of_rows_against_the_published_one(spark, sf):
+    import __spark_entry__ as entry
+
+    folder = sf.replace("sf0.001", "sf0.01")
+    published = {r["problem_id"]: r["unit_classification"] for r in spark.read.parquet(f"{folder}/problems.parquet").collect()}
+    got = entry.queries()["k25_unit_audit"](spark, folder).collect()
+    assert len(got) == len(published) and sum(r["row_classification"] == published[r["problem_id"]] for r in got) >= 0.98 * len(got)
+    kinds = {"unit_not_needed", "unit_required_but_unspecified"}
+    assert {r["row_classification"] for r in got} == {published[i] for i in published} and all(published[r["problem_id"]] == r["row_classification"] for r in got if r["classification"] == "unit_not_needed" and r["row_classification"] in kinds)
