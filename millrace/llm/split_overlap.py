@@ -43,6 +43,8 @@ SKETCH = 128
 TENTH = 2  # edits allowed, in tenths of the longer text's words
 #: Texts of fewer words have one segment; from here on the segments are 3, four times as many from each four times as many words on.
 SEGMENTED = 30
+#: Words coded at once; bounds the memory of a task.
+WORDS = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -118,7 +120,7 @@ def coded(classes: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in _runs(batch)):
             words = b.column("words")
             n = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             sketch, blocks, sizes = fingerprints(words.flatten().to_numpy(zero_copy_only=False), n, shared.value)
@@ -129,6 +131,13 @@ def coded(classes: DataFrame, counts: np.ndarray) -> DataFrame:
     return classes.select("c1", "c2", "lo", "hi", "words").mapInArrow(run, "c1 long, c2 long, lo int, hi int, n int, f0 long, f1 long, blocks array<long>")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``WORDS`` words, or of one longer text."""
+    group = np.cumsum(batch.column("words").value_lengths().to_numpy(zero_copy_only=False)) // WORDS
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(bounds[:-1], bounds[1:]) if b > a)
+
+
 def segments(longest: np.ndarray) -> np.ndarray:
     """Segments of the fingerprints of a pair whose longer text has so many words."""
     quarters = np.floor(np.log2(np.maximum(longest, SEGMENTED) / SEGMENTED) / 2)

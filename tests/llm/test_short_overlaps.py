@@ -51,3 +51,16 @@ def test_classes_with_their_links(spark):
     got = {r["problem_id"]: r for r in split_overlap.classes_with_links(df).collect()}
     assert set(got) == {0, 1, 2, 3, 4} and got[0]["class_id"] == got[1]["class_id"] == got[4]["class_id"] != got[2]["class_id"]
     assert {i: (r["same"], r["links"]) for i, r in got.items()} == {0: (True, 1), 1: (True, 0), 2: (False, 1), 3: (False, 0), 4: (True, 1)}
+
+
+def test_batches_are_coded_in_runs(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(split_overlap, "WORDS", 50)
+    sizes = [10, 45, 200, 0, 3, 3, 60]
+    batch = pa.RecordBatch.from_arrays([pa.array([list(range(n)) for n in sizes], pa.list_(pa.int64()))], ["words"])
+    runs = list(split_overlap._runs(batch))
+    assert [len(x) for r in runs for x in r.column("words").to_pylist()] == sizes and len(runs) >= 3
+    assert list(split_overlap._runs(batch.slice(0, 0))) == []
+    flat = [r.column("words").flatten().to_pylist() for r in runs]
+    assert sum(map(len, flat)) == sum(sizes)
