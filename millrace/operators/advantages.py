@@ -10,10 +10,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.grouped import map_groups
+
 EPS = 1e-6
 
 
@@ -98,12 +99,12 @@ def maxrl(df: DataFrame, group: str, order: str, log_likelihood: str, degree: in
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{out}` double"
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[keep].sort_values(order)
-        n = len(part)
-        return part.assign(**{out: maxrl_weights(part[log_likelihood].to_numpy(np.float64), min(degree or n, n), baseline and n > 1)})
+    def run(key: tuple, rows: list[dict]) -> list[tuple]:
+        n = len(rows)
+        weights = maxrl_weights(np.array([r[log_likelihood] for r in rows], np.float64), min(degree or n, n), baseline and n > 1)
+        return [(*(r[c] for c in keep), float(w)) for r, w in zip(rows, weights)]
 
-    return df.groupBy(group).applyInPandas(run, schema)
+    return map_groups(df.select(*keep), [group], [order], run, schema)
 
 
 def shaped_by_selector(df: DataFrame, rollout: str = "rollout_id", reward: str = "reward", selector: str = "is_selector", correct: float = 1.2, incorrect: float = 0.8, out: str = "shaped") -> DataFrame:

@@ -185,6 +185,12 @@ def k38_freeze_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "samples").select("sample_index", F.when(~v.isin("", "None", "N/A"), v).alias("value")).distinct()
 
 
+@query("""SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents WHERE text IS NOT NULL""")
+def k39_digests(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 @query()
 def k39_checksums(spark: SparkSession, d: str) -> DataFrame:
     import zlib
