@@ -27,6 +27,28 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
     return t.join(rl.j5_step_split(spark, d), "rollout_id").select("step", "sample_index", "length")
 
 
+# the samples of each step in their order, and a walk over them that carries a list
+_STEPS = f"""j AS ({rl.ORACLE["j5_step_split"]}), t AS (SELECT sample_indices AS sample_index, max(rollout_ids) AS rollout_id, CAST(max(len(tokens)) AS BIGINT) AS length FROM train_data WHERE sample_indices IS NOT NULL AND rollout_ids IS NOT NULL AND tokens IS NOT NULL GROUP BY 1),
+s AS (SELECT step, sample_index, length, row_number() OVER (PARTITION BY step ORDER BY sample_index) AS pos FROM t JOIN j USING (rollout_id))"""
+ORACLE["j1_first_fit"] = f"""WITH RECURSIVE {_STEPS}, r AS (SELECT DISTINCT step, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS fills, CAST(NULL AS BIGINT) AS bin, CAST(NULL AS BIGINT) AS sample_index FROM s UNION ALL
+SELECT step, pos, CASE WHEN k IS NULL THEN list_append(fills, length) ELSE list_transform(fills, lambda x, i: CASE WHEN i = k THEN x + length ELSE x END) END, coalesce(k - 1, len(fills)), sample_index FROM (SELECT r.step, s.pos, r.fills, s.length, s.sample_index, nullif(list_position(list_transform(r.fills, lambda x: x + s.length <= 4096), true), 0) AS k FROM r JOIN s ON s.step = r.step AND s.pos = r.pos + 1))
+SELECT step, CAST(bin AS INT) AS bin, sample_index FROM r WHERE pos > 0"""
+ORACLE["j3_greedy_parts"] = f"""WITH RECURSIVE {_STEPS}, r AS (SELECT DISTINCT step, CAST(0 AS BIGINT) AS pos, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS sums, CAST(NULL AS BIGINT) AS part, CAST(0 AS BIGINT) AS length FROM s UNION ALL
+SELECT step, pos, list_transform(sums, lambda x, i: CASE WHEN i = k THEN x + length ELSE x END), k - 1, length FROM (SELECT r.step, s.pos, r.sums, s.length, list_position(r.sums, list_min(r.sums)) AS k FROM r JOIN s ON s.step = r.step AND s.pos = r.pos + 1)),
+p AS (SELECT step, part, sum(length) AS tokens, count(*) AS samples FROM r WHERE pos > 0 GROUP BY 1, 2), e AS (SELECT DISTINCT step, part FROM s, (SELECT unnest(range(8)) AS part)) SELECT e.step, CAST(e.part AS INT) AS part, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, coalesce(samples, 0) AS samples FROM e LEFT JOIN p ON e.step = p.step AND e.part = p.part"""
+
+
+@query
+def j3_greedy_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Samples in their order, each to the part with the fewest tokens."""
+
+    def run(key, part):
+        lengths = part.sort_values("sample_index")["length"].tolist()
+        return pd.DataFrame([(key[0], p, sum(lengths[i] for i in items), len(items)) for p, items in enumerate(packing.greedy(lengths, 8))], columns=["step", "part", "tokens", "samples"])
+
+    return steps(spark, d).groupBy("step").applyInPandas(run, "step long, part int, tokens long, samples long")
+
+
 @query
 def j1_first_fit(spark: SparkSession, d: str) -> DataFrame:
     def run(key, part):
