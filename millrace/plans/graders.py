@@ -61,6 +61,17 @@ def k3_exact_match(spark: SparkSession, d: str) -> DataFrame:
     return answered(spark, d).where("label is not null").select("sample_index", same.cast("int").alias("em"))
 
 
+# the content of the last box; the responses hold no braces within one
+_BOX = r"regexp_extract(regexp_extract(response, '(?s).*(\\boxed.*)$', 1), '(?s)^\\boxed\{([^{}]*)\}', 1)"
+_BOXED = r"regexp_matches(regexp_extract(response, '(?s).*(\\boxed.*)$', 1), '(?s)^\\boxed\{[^{}]*\}')"
+_ANSWERED = "(SELECT DISTINCT sample_index, source, prompt, response, label FROM samples)"
+
+
+@query(f"SELECT sample_index, CASE WHEN {_BOXED} THEN {_BOX} END AS boxed FROM {_ANSWERED}")
+def k8_last_boxed(spark: SparkSession, d: str) -> DataFrame:
+    return pairs(spark, d).select("sample_index", batched(G.last_boxed, "string")("response").alias("boxed"))
+
+
 @query()
 def k8_k11_boxed_math(spark: SparkSession, d: str) -> DataFrame:
     reward = batched(G.math_reward, "double")
@@ -68,7 +79,17 @@ def k8_k11_boxed_math(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).select("sample_index", box("response").alias("boxed"), reward("response", "label").alias("reward"), batched(G.reasoned_math_reward, "double")("response", "label").alias("reasoned_reward"))
 
 
-@query()
+_BLANKS, _NOISES = (p.pattern.replace("'", "''") for p in (G._BLANK, G._NOISE))
+_UNWRAP = r"regexp_replace({x}, '\\(?:text|mbox|textbf|overline|boxed)\{{([^{{}}]*)\}}', '\1', 'g')"
+_UNWRAPPED = _UNWRAP.format(x=_UNWRAP.format(x=_UNWRAP.format(x="m")))
+
+
+@query(rf"""WITH t AS (SELECT DISTINCT sample_index, coalesce(response, '') AS r, label FROM {_ANSWERED} WHERE regexp_full_match(label, '-?[0-9]+')),
+a AS (SELECT *, coalesce(regexp_extract_all(right(r, 300), '(?i)answer\s*:\s*([^\n]+)', 1)[-1], '[INVALID]') AS x FROM t),
+n AS (SELECT *, replace(regexp_replace(regexp_replace(regexp_extract(x, '[^=]*$'), '{_BLANKS}', '', 'g'), '{_NOISES}', '', 'g'), '.$', '$') AS n FROM a),
+m AS (SELECT *, CASE WHEN regexp_matches(n, '\$.*?\$') THEN regexp_extract(n, '\$(.*?)\$', 1) ELSE n END AS m FROM n), u AS (SELECT *, trim(replace({_UNWRAPPED}, '$', '')) AS u FROM m),
+g AS (SELECT *, CASE WHEN regexp_full_match(replace(u, ',', ''), '\d+') THEN replace(u, ',', '') ELSE u END AS given, regexp_extract(right(r, 100), '(?s).*(\\boxed\{{.*)$', 1) AS box FROM u)
+SELECT sample_index, CASE WHEN given = CAST(CAST(label AS BIGINT) AS VARCHAR) THEN 1.0 ELSE -1.0 END AS reward, CASE WHEN regexp_matches(box, '^\\boxed\{{[^{{}}]*\}}') AND regexp_extract(box, '^\\boxed\{{([^{{}}]*)\}}', 1) = label THEN 1.0 ELSE -1.0 END AS strict_reward FROM g""")
 def k12_integer_answer(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d).where(r"label rlike '^-?[0-9]+$'")
     return p.select("sample_index", batched(G.integer_answer_reward, "double")("response", "label").alias("reward"), batched(G.strict_box_reward, "double")("response", "label").alias("strict_reward"))
@@ -134,7 +155,15 @@ def k23_collections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "problems").select("problem_id", X.collection(first).alias("collection"))
 
 
-@query()
+_P = r"([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
+_TAG = rf"(?i)<(?:probability|forecast|answer)>\s*{_P}\s*</(?:probability|forecast|answer)>"
+
+
+@query(rf"""WITH t AS (SELECT sample_index, label, regexp_replace(regexp_replace(response, '(?i)(\s*<\|(im_end|endoftext)\|>)+\s*$', ''), '(?s)^\s*<think>.*?</think>', '') AS r FROM {_ANSWERED} WHERE source = 'forecast'),
+n AS (SELECT *, CASE WHEN len(regexp_extract_all(r, '{_TAG}')) = 1 AND regexp_matches(r, '{_TAG}\s*$') THEN regexp_extract(r, '{_TAG}', 1) WHEN len(regexp_extract_all(r, '{_TAG}')) = 0 AND regexp_full_match(r, '\s*(\$?\\boxed\{{\s*{_P}\s*\}}\$?|{_P})\s*') THEN regexp_extract(r, '{_P}', 1) END AS x FROM t),
+p AS (SELECT *, CASE WHEN TRY_CAST(x AS DOUBLE) BETWEEN 0 AND 1 THEN TRY_CAST(x AS DOUBLE) END AS p, CASE WHEN lower(label) = 'yes' THEN 1.0 WHEN lower(label) = 'no' THEN 0.0 ELSE TRY_CAST(label AS DOUBLE) END AS y FROM n),
+b AS (SELECT *, CASE WHEN y IN (0, 1) THEN y END AS b FROM p), q AS (SELECT *, least(greatest(coalesce(p, 1 - b), 1e-6), 1 - 1e-6) AS q FROM b)
+SELECT sample_index, p, round(CASE WHEN p IS NULL THEN 1.0 ELSE (p - b) * (p - b) END, 6) + 0.0 AS brier, round(CASE WHEN b = 1 THEN ln(q) ELSE ln(1 - q) END, 6) + 0.0 AS log_likelihood FROM q""")
 def k26_k27_probabilities(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d).where("source = 'forecast'").withColumn("p", batched(lambda r: G.probability(r), "double")("response"))
     y = F.when(F.lower("label") == "yes", 1.0).when(F.lower("label") == "no", 0.0).otherwise(F.expr("try_cast(label as double)"))
@@ -143,7 +172,8 @@ def k26_k27_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_index", "p", r6(metrics.brier(F.col("p"), binary)).alias("brier"), r6(metrics.bernoulli_log_likelihood(worst, binary)).alias("log_likelihood"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT sample_index, CASE WHEN {_BOXED} THEN TRY_CAST(trim({_BOX}) AS DOUBLE) END AS v, TRY_CAST(label AS DOUBLE) AS y FROM {_ANSWERED} WHERE source = 'code_regression'), x AS (SELECT sample_index, CASE WHEN isfinite(v) THEN v END AS x, y FROM t),
+e AS (SELECT *, (CASE WHEN x >= 0 THEN ln(1 + x) END - CASE WHEN y > -1 THEN ln(1 + y) END) / ln(10.0) AS e FROM x) SELECT sample_index, x, round(CASE WHEN e IS NULL THEN 0.0 ELSE exp(-0.5 * e * e) END, 6) + 0.0 AS score FROM e""")
 def k28_k29_gaussian_scores(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d).where("source = 'code_regression'").withColumn("x", batched(G.boxed_number, "double")("response"))
     y = F.expr("try_cast(label as double)")

@@ -204,7 +204,12 @@ def h8_parent_names(spark: SparkSession, d: str) -> DataFrame:
     return s.where("parent is not null").drop("name").join(p, "parent", "left").select("span_id", "parent_name", F.col("parent_name").isNull().alias("unknown_parent"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, st AS (SELECT span_id, min(ts) AS s, min(parent_span_id) AS p, min(sample_index) AS si FROM e WHERE type = 'span_start' GROUP BY 1), en AS (SELECT span_id, max(ts) AS e, min(parent_span_id) AS p, min(sample_index) AS si FROM e WHERE type = 'span_end' GROUP BY 1),
+x AS (SELECT coalesce(st.span_id, en.span_id) AS id, coalesce(st.p, en.p) AS parent, coalesce(st.si, en.si) AS si, s, e FROM st FULL JOIN en ON st.span_id = en.span_id),
+w AS (SELECT si, id, 0 AS k, parent AS at, [id] AS seen, CAST(NULL AS DOUBLE) AS closed FROM x WHERE si IS NOT NULL UNION ALL SELECT w.si, w.id, k + 1, y.parent, list_append(seen, y.id), CASE WHEN y.s IS NOT NULL THEN y.e END FROM w JOIN x y ON y.si = w.si AND y.id = w.at WHERE NOT list_contains(seen, y.id)),
+a AS (SELECT si, id, max(k) AS depth, arg_min(closed, k) FILTER (closed IS NOT NULL) AS above FROM w GROUP BY 1, 2),
+n AS (SELECT si, id, lead(s) OVER (PARTITION BY si, parent ORDER BY s, id) AS next FROM x WHERE s IS NOT NULL AND si IS NOT NULL), l AS (SELECT si, max(greatest(s, e)) AS last FROM x GROUP BY 1)
+SELECT x.si AS sample_index, x.id AS span_id, CAST(coalesce(depth, 0) AS INT) AS depth, round(CASE WHEN x.si IS NULL THEN coalesce(e, s) WHEN e IS NULL THEN least(last, next, above) ELSE e END, 6) + 0.0 AS shown_end FROM x LEFT JOIN a ON a.si = x.si AND a.id = x.id LEFT JOIN n ON n.si = x.si AND n.id = x.id LEFT JOIN l ON l.si = x.si""")
 def l8_span_trees(spark: SparkSession, d: str) -> DataFrame:
     return intervals.clipped_tree(intervals.paired_spans(events(spark, d, *SPAN))).withColumn("shown_end", r6("shown_end"))
 
