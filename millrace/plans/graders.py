@@ -95,7 +95,14 @@ def k12_integer_answer(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_index", batched(G.integer_answer_reward, "double")("response", "label").alias("reward"), batched(G.strict_box_reward, "double")("response", "label").alias("strict_reward"))
 
 
-@query()
+_LETTER = "CASE WHEN regexp_matches(upper(regexp_extract(t, '(?i){p}', 1)), '^[A-J]$') THEN upper(regexp_extract(t, '(?i){p}', 1)) END"
+_LETTERS_NAMED = ", ".join(_LETTER.format(p=p) for p in G.LETTER_PHRASES)
+_PLAIN = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(rf"""WITH a AS (SELECT sample_index, response, label, coalesce(string_split(response, '</think>')[-1], '') AS t FROM {_ANSWERED} WHERE source = 'gpqa'),
+l AS (SELECT *, coalesce({_LETTERS_NAMED}, list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-J]'))[-1]) AS letter, CASE WHEN upper(trim(label)) IN ('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H', 'I', 'J') THEN upper(trim(label)) END AS is_right, {_PLAIN.format(x="t")} AS said, {_PLAIN.format(x="label")} AS target FROM a)
+SELECT sample_index, letter, CASE WHEN response IS NULL THEN 0.0 WHEN letter IS NOT NULL AND is_right IS NOT NULL THEN CASE WHEN letter = is_right THEN 1.0 ELSE 0.0 END WHEN coalesce(target, '') <> '' AND CASE WHEN length(target) > 1 THEN contains(said, target) ELSE list_contains(string_split(said, ' '), target) END THEN 1.0 ELSE 0.0 END AS reward FROM l""")
 def k13_multiple_choice(spark: SparkSession, d: str) -> DataFrame:
     return pairs(spark, d).where("source = 'gpqa'").select("sample_index", batched(lambda r: G.option_letter(r), "string")("response").alias("letter"), batched(lambda r, t: G.choice_reward(r, t), "double")("response", "label").alias("reward"))
 
@@ -182,7 +189,14 @@ def k28_k29_gaussian_scores(spark: SparkSession, d: str) -> DataFrame:
     return p.select("sample_index", "x", r6(F.exp(ll)).alias("score"))
 
 
-@query()
+_ANSWER_BOX = r"Answer:\s*\\boxed\{(?:[^{}]|\{[^{}]*\})*\}"
+_CALLED = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
+
+
+@query(f"""WITH a AS (SELECT sample_index, response AS r, coalesce(response, '') AS t FROM {_ANSWERED}), c AS (SELECT *, replace(regexp_extract(t, '{_CALLED}', 1), chr(10), '\\n') AS call FROM a), j AS (SELECT *, json_valid(call) AND call <> '' AS ok FROM c)
+SELECT sample_index, CASE WHEN regexp_matches(t, '{_ANSWER_BOX}') THEN 'answer' WHEN ok AND coalesce(json_extract_string(CASE WHEN ok THEN call END, '$.name'), '') = 'code_interpreter' AND coalesce(trim(json_extract_string(CASE WHEN ok THEN call END, '$.arguments.code')), '') <> '' THEN 'code' WHEN regexp_matches(t, '(?s)<code>.*?</code>') OR regexp_matches(t, '(?s)```python\\s*.*?\\s*```') THEN 'code' END AS tool_action,
+CASE WHEN regexp_matches(t, '(?s)<search>.*?</search>') AND (NOT regexp_matches(t, '(?s)<answer>.*?</answer>') OR length(regexp_extract(t, '(?s)^(.*?)<search>.*?</search>', 1)) < length(regexp_extract(t, '(?s)^(.*?)<answer>.*?</answer>', 1))) THEN 'search' WHEN regexp_matches(t, '(?s)<answer>.*?</answer>') THEN 'answer' END AS search_action,
+CASE WHEN r IS NULL THEN NULL WHEN regexp_matches(t, '{_CALLED}') THEN regexp_extract(t, '(?s)^(.*<tool_call>\\s*\\{{.*?\\}}\\s*</tool_call>)', 1) WHEN contains(t, '</code>') THEN regexp_extract(t, '(?s)^(.*?</code>)', 1) WHEN regexp_matches(t, '(?s)```python\\s*.*?```') THEN regexp_extract(t, '(?s)^(.*```python\\s*.*?```)', 1) WHEN regexp_matches(t, '{_ANSWER_BOX}') THEN regexp_extract(t, '(?s)^(.*{_ANSWER_BOX})', 1) ELSE t END AS cut FROM j""")
 def k31_k32_actions(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d)
     kind = lambda f: batched(lambda r: f(r)[0], "string")("response")

@@ -83,6 +83,11 @@ def l6_l7_session_samples(spark: SparkSession, d: str) -> DataFrame:
     return out.select("session_id", "sample", F.size("tokens").alias("tokens"), "response_length", F.aggregate("loss_mask", F.lit(0), lambda s, m: s + m).alias("trained"), "truncated", "ill_formed", "turns")
 
 
+# runs of visible characters; the line end that ends a conversation is a token of its own
+ORACLE["k34_k35_loss_masks"] = r"""WITH s AS (SELECT DISTINCT sample_index, prompt, response FROM samples), t AS (SELECT sample_index, coalesce(response, '') || '<|im_end|>' AS reply, '<|im_start|>user' || chr(10) || coalesce(prompt, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS before FROM s)
+SELECT sample_index, CAST(len(regexp_extract_all(before || reply, '{v}')) + 1 AS INT) AS tokens, CAST(len(regexp_extract_all(reply, '{v}')) AS INT) AS trained FROM t""".replace("{v}", r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+
+
 @query
 def k34_k35_loss_masks(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and trained tokens of each sample as a two-message conversation."""
