@@ -47,3 +47,10 @@ TOK = """t AS (SELECT DISTINCT session_id, turn, output_log_probs FROM turns WHE
 u AS (SELECT session_id, turn, len(output_log_probs) AS n, unnest(output_log_probs) AS old, generate_subscripts(output_log_probs, 1) AS pos FROM t),
 tok AS (SELECT session_id, turn, n, pos, old, old * 0.9137129 - 0.01137731 * (pos % 5) AS new, old * 0.80713577 AS ref, CASE WHEN pos % 4 = 3 THEN 0.0 ELSE 1.0 END AS mask,
  CAST(turn % 3 - 1 AS DOUBLE) * 0.5137733 + 0.2531177 AS adv, CAST((turn + 1) / 4.0713579 AS DOUBLE) AS reward FROM u)"""
+
+
+def log10_sql(x: str) -> str:
+    """log10 of a positive decimal number in a text ``x``, in SQL; null for anything else."""
+    number = f"TRY_CAST(replace(trim({x}), ',', '') AS DOUBLE)"
+    form = r"\s*\+?((\d{1,3}(,\d{3})+|\d+)(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*"
+    return f"CASE WHEN regexp_full_match({x}, '{form}') AND {number} > 0 THEN log10({number}) END"

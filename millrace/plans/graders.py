@@ -10,7 +10,7 @@ from millrace.functions import text as X
 from millrace.functions import mazes
 from millrace.functions.udfs import batched
 from millrace.operators import metrics
-from millrace.plans.base import r6
+from millrace.plans.base import log10_sql, r6
 from millrace.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -123,7 +123,11 @@ def k17_repetition(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", batched(lambda t: round(G.compression_ratio(t), 6) if t else None, "double")("text").alias("ratio"), batched(G.repetitive, "boolean")("text").alias("repetitive"))
 
 
-@query()
+_PART, _WHITE = r"\d+(?:\.\d+)?", _SPACES.format()
+
+
+@query(rf"""WITH a AS (SELECT problem_id, answer_value, regexp_replace(regexp_replace(regexp_replace(answer_value, '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g'), '^{_WHITE}+|{_WHITE}+$', '', 'g') AS s FROM problems), b AS (SELECT *, regexp_matches(s, '^[-+]?{_PART}{_WHITE}*/{_WHITE}*{_PART}') AS ratio, TRY_CAST(regexp_extract(s, '^[-+]?({_PART}){_WHITE}*/{_WHITE}*({_PART})', 1) AS DOUBLE) AS n, TRY_CAST(regexp_extract(s, '^[-+]?({_PART}){_WHITE}*/{_WHITE}*({_PART})', 2) AS DOUBLE) AS d, regexp_extract(s, '(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?') AS first FROM a)
+SELECT problem_id, round(CASE WHEN ratio THEN CASE WHEN n > 0 AND d > 0 THEN log10(n / d) END ELSE {log10_sql("first")} END, 6) + 0.0 AS log10_magnitude, round({log10_sql("answer_value")}, 6) + 0.0 AS log10_positive FROM b""")
 def k18_k21_log10_answers(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "problems")
     return p.select("problem_id", r6(batched(G.source_answer_log10, "double")("answer_value")).alias("log10_magnitude"), r6(batched(G.positive_log10, "double")("answer_value")).alias("log10_positive"))
@@ -147,7 +151,14 @@ def k20_normalized_questions(spark: SparkSession, d: str) -> DataFrame:
     return p.select("problem_id", batched(X.normalize_question, "string")("question").alias("normalized"))
 
 
-@query()
+_TEN = r"(?:([+]?[\d.,]+)(?:\\times|\\cdot|\*|x|×|·))?10\^(?:\{([+-]?\d+)\}|([+-]?\d+))"
+
+
+@query(rf"""WITH t AS (SELECT sample_index, label, trim(regexp_replace(response, '(?i)(?:\s*<\|(?:im_end|endoftext)\|>)+\s*$', '')) AS response FROM {_ANSWERED} WHERE source = 'fermi'), b AS (SELECT *, CASE WHEN contains(response, '\boxed') THEN CASE WHEN {_BOXED} THEN {_BOX} END ELSE response END AS x FROM t),
+s AS (SELECT sample_index, label, replace(replace(regexp_replace(trim(trim(x), '$'), '\\left|\\right|\\[,;:! ]|\\q?quad|\s+', '', 'g'), '−', '-'), '＋', '+') AS s FROM b),
+l AS (SELECT *, coalesce(nullif(regexp_extract(s, '^{_TEN}$', 1), ''), '1') AS lead, TRY_CAST(regexp_extract(s, '^{_TEN}$', 2) || regexp_extract(s, '^{_TEN}$', 3) AS INT) AS power FROM s),
+p AS (SELECT *, coalesce({log10_sql("s")}, {log10_sql("lead")} + CASE WHEN regexp_full_match(s, '{_TEN}') THEN power END) AS prediction, {log10_sql("label")} AS target FROM l)
+SELECT sample_index, round(prediction, 6) + 0.0 AS prediction, round(CASE WHEN prediction IS NULL OR target IS NULL THEN 0.0 ELSE greatest(0.0, 1 - abs(prediction - target) / 3.0) END, 6) + 0.0 AS score, CASE WHEN abs(prediction - target) <= 0.5 THEN 1 ELSE 0 END AS hit FROM p""")
 def k22_k24_fermi_scores(spark: SparkSession, d: str) -> DataFrame:
     p = pairs(spark, d).where("source = 'fermi'")
     x = p.select("sample_index", batched(G.answer_log10, "double")("response").alias("prediction"), batched(G.positive_log10, "double")("label").alias("target"))

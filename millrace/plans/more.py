@@ -178,7 +178,8 @@ def run_chunks(documents: DataFrame, most: int, width: int) -> DataFrame:
     return map_groups(ranged.join(opened, keys), keys, order, number, "run_id string, doc_id long, chunk int")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT run_id, doc_id, n_chars, row_number() OVER (PARTITION BY run_id ORDER BY doc_id, n_chars) AS pos FROM documents WHERE run_id IS NOT NULL AND n_chars IS NOT NULL), r AS (SELECT run_id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS doc_id, 0 AS chunk, CAST(0 AS BIGINT) AS total FROM s WHERE pos = 1 UNION ALL
+SELECT r.run_id, s.pos, s.doc_id, CASE WHEN total > 0 AND total + n_chars > 20000 THEN chunk + 1 ELSE chunk END, CASE WHEN total > 0 AND total + n_chars > 20000 THEN n_chars ELSE total + n_chars END FROM r JOIN s ON s.run_id = r.run_id AND s.pos = r.pos + 1) SELECT run_id, doc_id, CAST(chunk AS INT) AS chunk FROM r WHERE pos > 0""")
 def j9_size_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each run in chunks of at most 20,000 characters, in order of id; a longer document is a chunk of its own."""
     return run_chunks(table(spark, d, "documents"), 20_000, 100_000)

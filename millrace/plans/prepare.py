@@ -11,7 +11,7 @@ from millrace.functions import tokens as K
 from millrace.functions.udfs import batched
 from millrace.operators import filters, transforms
 from millrace.operators.units import scaled_unit
-from millrace.plans.base import r6
+from millrace.plans.base import log10_sql, r6
 from millrace.runtime import table
 
 QUERIES, ORACLE = {}, {}
@@ -86,7 +86,8 @@ def c31_compact_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", transforms.compact_text(F.col("text")).alias("compact"))
 
 
-@query()
+@query("""WITH p AS (SELECT DISTINCT sample_index, prompt FROM samples WHERE prompt IS NOT NULL), s AS (SELECT sample_index, string_split('<image>' || prompt || '<image>', '<image>') AS p FROM p)
+SELECT sample_index, array_to_string(flatten([CASE WHEN i > 1 AND p[i] <> '' THEN ['image', 'text'] WHEN i > 1 THEN ['image'] WHEN p[i] <> '' THEN ['text'] ELSE [] END FOR i IN range(1, len(p) + 1)]), '|') AS parts FROM s""")
 def c2_c3_media_parts(spark: SparkSession, d: str) -> DataFrame:
     """Prompts with two placed images more, split into typed parts; placeholders that a prompt has of its own take images too."""
 
@@ -112,8 +113,7 @@ def d14_unambiguous_units(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "problems").where("retained_for_merge and unit_classification <> 'unit_required_but_unspecified'").select("problem_id", "retained_for_merge")
 
 
-#: log10 of a positive decimal number in SQL, null for anything else
-_LOG10 = r"""CASE WHEN regexp_full_match(answer_value, '\s*\+?((\d{1,3}(,\d{3})+|\d+)(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*') AND TRY_CAST(replace(trim(answer_value), ',', '') AS DOUBLE) > 0 THEN log10(CAST(replace(trim(answer_value), ',', '') AS DOUBLE)) END"""
+_LOG10 = log10_sql("answer_value")
 _FIRST = "lower(trim(string_split(problem_source, '|')[1]))"
 
 
