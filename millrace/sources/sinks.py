@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.runtime import bounded_rows
+
 
 def fixed(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns and types of a fixed schema; a null in a required column fails the write."""
@@ -75,6 +78,45 @@ def jsonl(df: DataFrame, path: str, finite: bool = True) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)
 
 
+def predictions(df: DataFrame, path: str) -> None:
+    """One JSON object per line in one file that appears at once; NaN and infinities are errors.
+
+    The rows of one evaluation come through one task; a larger table belongs into ``jsonl``.
+    """
+    spark = df.sparkSession
+    numbers = [n for n, t in df.dtypes if t in ("double", "float")]
+    if numbers:
+        bad = df.agg(*[F.max(F.isnan(n) | (F.abs(F.col(n)) == float("inf"))).alias(n) for n in numbers]).first()
+        if any(bad):
+            raise ValueError(f"not finite: {[n for n in numbers if bad[n]]}")
+    staging = f"{path}.tmp-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("ignoreNullFields", False).json(staging)
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        part = next((f.getPath() for f in fs.listStatus(p(staging)) if f.getPath().getName().startswith("part-")), None)
+        if part is None:  # no rows
+            _write_text(spark, path, "")
+            return
+        fs.delete(p(path), False)
+        if not fs.rename(part, p(path)):
+            raise OSError(f"could not move to {path}")
+    finally:
+        fs.delete(p(staging), True)
+
+
+def text_report(df: DataFrame, path: str, title: str, most: int = 10_000) -> str:
+    """A titled table as text, written and returned; more than ``most`` rows are an error. Numbers are right-aligned, nulls are dashes."""
+    rows = bounded_rows(df, most, title)
+    shown = [[("-" if v is None else f"{v:,.6g}" if isinstance(v, float) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v)) for v in r] for r in rows]
+    widths = [max(len(x) for x in column) for column in zip(df.columns, *shown)]
+    right = [t in ("double", "float", "int", "bigint", "smallint", "tinyint") for _, t in df.dtypes]
+    line = lambda cells: "  ".join(c.rjust(w) if r else c.ljust(w) for c, w, r in zip(cells, widths, right)).rstrip()
+    text = "\n".join([title, "=" * len(title), line(df.columns), line(["-" * w for w in widths]), *map(line, shown)]) + "\n"
+    _write_text(df.sparkSession, path, text)
+    return text
+
+
 def rollout_dump(df: DataFrame, path: str, evaluation: bool = False) -> None:
     """Samples by rollout, evaluation apart from training."""
     df.withColumn("evaluation", F.lit(evaluation)).write.mode("append").partitionBy("rollout_id", "evaluation").parquet(path)

@@ -94,6 +94,23 @@ def test_last_chunks_over_micro_batches(spark, tmp_path):
     assert nothing.count() == 0 and "batch_id" in nothing.columns
 
 
+def test_predictions_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5, "a"), (2, None, None)], "i long, p double, s string").repartition(3)
+    path = str(tmp_path / "p.jsonl")
+    for _ in range(2):  # the second one replaces the first
+        sinks.predictions(rows, path)
+    assert sorted((json.loads(x) for x in open(path)), key=lambda r: r["i"]) == [{"i": 1, "p": 0.5, "s": "a"}, {"i": 2, "p": None, "s": None}]
+    assert [f for f in os.listdir(tmp_path) if "tmp" in f and not f.startswith(".")] == []
+    with pytest.raises(ValueError, match="not finite"):
+        sinks.predictions(rows.withColumn("p", F.lit(float("nan"))), path)
+    sinks.predictions(rows.limit(0), str(tmp_path / "e.jsonl"))
+    assert open(tmp_path / "e.jsonl").read() == ""
+    text = sinks.text_report(spark.createDataFrame([("x", 1234, 0.5), (None, None, 2.0)], "name string, n long, share double"), str(tmp_path / "r.txt"), "Shares")
+    assert text == "Shares\n======\nname      n  share\n----  -----  -----\nx     1,234    0.5\n-         -      2\n" and open(tmp_path / "r.txt").read() == text
+    with pytest.raises(ValueError):
+        sinks.text_report(rows, str(tmp_path / "q.txt"), "t", most=1)
+
+
 def test_slices_follow_files_and_rows(spark, tmp_path):
     for i in range(4):  # the largest file comes last by name, and a scan takes it first
         spark.range(i * 100, i * 100 + 10 + 30 * i).coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
