@@ -51,12 +51,7 @@ def l3_last_chunks(spark: SparkSession, d: str) -> DataFrame:
     s = jobs.table_stream(spark, f"{d}/turns.parquet").where("session_id is not null and finish_reason is not null")
     s = s.select("session_id", "turn", "finish_reason", F.coalesce(F.col("created_at").cast("timestamp"), F.timestamp_seconds(F.lit(0))).alias("at"))
     out = jobs.drained(jobs.last_chunk(s, "session_id", "turn", "finish_reason", "at"), "update", "chunks")
-    return filters_latest(out, "session_id").select("session_id", "turn", "finish_reason")
-
-
-def filters_latest(df: DataFrame, key: str) -> DataFrame:
-    """The last update of each key."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), "batch_id").alias("r")).select("r.*")
+    return jobs.highest(out, "session_id", "turn").select("session_id", "turn", "finish_reason")
 
 
 @query("""SELECT 'retry' AS sink, count(*) AS n FROM samples WHERE status IN ('aborted', 'failed') UNION ALL SELECT 'done', count(*) FROM samples WHERE status IS NULL OR status NOT IN ('aborted', 'failed')""")

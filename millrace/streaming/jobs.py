@@ -83,31 +83,21 @@ def accumulated_groups(stream: DataFrame, key: str, columns: list[str], at_least
     return stream.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append", timeout)
 
 
-def last_chunk(stream: DataFrame, key: str, sequence: str, value: str, at: str, late: str = "1 hour", idle_ms: int = 6 * 3_600_000) -> DataFrame:
+def last_chunk(stream: DataFrame, key: str, sequence: str, value: str, at: str, late: str = "1 hour", span: str = "1 day") -> DataFrame:
     """(key, sequence, value): the chunk with the highest number of each request, updated as chunks come (chunks hold all text so far).
 
-    ``at`` is the time of a chunk. Chunks later than the watermark are dropped, and a request's state goes once
-    the watermark is ``idle_ms`` past its last chunk, so state holds the requests under way.
+    ``at`` is the time of a chunk. A request is held per ``span`` of time and let go once the watermark has passed
+    the span, so state holds what came lately; a request over several spans gives an update for each, of which
+    the highest number holds (``highest``). Chunks later than the watermark, or without number or time, are dropped.
     """
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
-    out_schema = ", ".join(f"`{c}` {fields[c]}" for c in (key, sequence, value))
+    rows = stream.where(F.col(sequence).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
+    latest = rows.groupBy(key, F.window(at, span).alias("_span")).agg(F.max_by(value, F.struct(sequence, value)).alias("_v"), F.max(sequence).alias("_s"))
+    return latest.select(key, F.col("_s").alias(sequence), F.col("_v").alias(value))
 
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, last = (tuple(state.get)[:2], state.get[2]) if state.exists else (None, 0)
-        for b in batches:
-            top = b.sort_values([sequence, value], na_position="first").iloc[-1]
-            if best is None or (top[sequence], str(top[value])) > (best[0], str(best[1])):
-                best = (_plain(top[sequence]), _plain(top[value]))
-            last = max(last, int(b[at].max().timestamp() * 1000))
-        state.update((*best, last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame([(name[0], *best)], columns=[key, sequence, value])
-
-    rows = stream.where(F.col(sequence).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late).select(key, sequence, value, at)
-    return rows.groupBy(key).applyInPandasWithState(step, out_schema, f"s {fields[sequence]}, v {fields[value]}, last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+def highest(updates: DataFrame, key: str, sequence: str) -> DataFrame:
+    """The update with the highest number of each key."""
+    return updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), sequence).alias("r")).select("r.*")
 
 
 def windowed(stream: DataFrame, at: str, key: str, value: str, window: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
