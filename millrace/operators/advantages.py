@@ -107,6 +107,23 @@ def maxrl(df: DataFrame, group: str, order: str, log_likelihood: str, degree: in
     return map_groups(df.select(*keep), [group], [order], run, schema)
 
 
+def maxrl_by_power_sums(df: DataFrame, group: str, order: str, likelihood: str, out: str = "weight") -> DataFrame:
+    """MaxRL weights of degree 4 (or the group's size if less) of likelihoods in [0, 1], by power sums of the others.
+
+    The symmetric means are written out, so a decimal likelihood takes no detour by its logarithm, and rows are added up in ``order``:
+    a weight that ends in a 5 after the last kept digit is rounded alike in every run. A group of one keeps its likelihood.
+    """
+    w = Window.partitionBy(group).orderBy(order, likelihood).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    g, a = F.col(likelihood), 1 - F.col(likelihood)
+    sums = {"_n": F.count("*").over(w), "_m": F.avg(g).over(w), "_p1": F.sum(a).over(w) - a, "_p2": F.sum(a * a).over(w) - a * a, "_p3": F.sum(a * a * a).over(w) - a * a * a}
+    n, m, p1, p2, p3 = map(F.col, sums)
+    at_least_1 = lambda x: F.greatest(x, F.lit(1))  # noqa: E731  not reached where it matters
+    second = F.when(n > 2, (p1 * p1 - p2) / at_least_1((n - 1) * (n - 2))).otherwise(0.0)
+    third = F.when(n > 3, (p1 * p1 * p1 - 3 * p1 * p2 + 2 * p3) / at_least_1((n - 1) * (n - 2) * (n - 3))).otherwise(0.0)
+    weight = n / at_least_1(n - 1) * (g - m) * (1 + p1 / at_least_1(n - 1) + second + third)
+    return df.withColumns(sums).withColumn(out, F.when(n == 1, g).otherwise(weight)).drop(*sums)
+
+
 def shaped_by_selector(df: DataFrame, rollout: str = "rollout_id", reward: str = "reward", selector: str = "is_selector", correct: float = 1.2, incorrect: float = 0.8, out: str = "shaped") -> DataFrame:
     """Multi-agent shaping: all rewards of a rollout are weighted by whether its selector was right."""
     right = F.max(F.when(F.col(selector), F.col(reward))).over(Window.partitionBy(rollout))

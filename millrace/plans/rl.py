@@ -130,8 +130,8 @@ def f17_group_centred(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT *, count(*) OVER w AS n, avg(g) OVER w AS m, sum(a) OVER w - a AS p1, sum(a * a) OVER w - a * a AS p2, sum(a * a * a) OVER w - a * a * a AS p3 FROM y WINDOW w AS (PARTITION BY group_index))
 SELECT group_index, sample_index, round(CASE WHEN n = 1 THEN g ELSE n * 1.0 / (n - 1) * (g - m) * (1 + p1 / (n - 1) + CASE WHEN n > 2 THEN (p1 * p1 - p2) / ((n - 1) * (n - 2)) ELSE 0 END + CASE WHEN n > 3 THEN (p1 * p1 * p1 - 3 * p1 * p2 + 2 * p3) / ((n - 1) * (n - 2) * (n - 3)) ELSE 0 END) END, 6) + 0.0 AS weight FROM p""")
 def f4_maxrl_weights(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).where("reward is not null and group_index is not null").withColumn("ll", advantages.likelihood_of_reward(F.col("reward")))
-    return advantages.maxrl(s, "group_index", "sample_index", "ll", degree=4).select("group_index", "sample_index", r6("weight").alias("weight"))
+    s = samples(spark, d).where("reward is not null and group_index is not null").withColumn("g", F.when(F.col("reward") > 0, F.least("reward", F.lit(1.0))).otherwise(0.0))
+    return advantages.maxrl_by_power_sums(s, "group_index", "sample_index", "g").select("group_index", "sample_index", r6("weight").alias("weight"))
 
 
 @query(f"""WITH {S}, x AS (SELECT *, max(CASE WHEN sample_index % 2 = 0 THEN reward END) OVER (PARTITION BY rollout_id) AS sel FROM s WHERE reward IS NOT NULL)
