@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.operators.grouped import map_groups
@@ -18,23 +18,32 @@ from millrace.operators.grouped import map_groups
 EPS = 1e-6
 
 
+def _rows_of(df: DataFrame, group: str, reward: str) -> WindowSpec:
+    """All rows of a group, in the order of their index if they have one, else of their rewards.
+
+    Sums of doubles depend on the order; a fixed one gives the same last digits for any partitioning.
+    """
+    order = [reward] if "sample_index" not in df.columns else ["sample_index", reward]
+    return Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def group_normalized(df: DataFrame, group: str = "group_index", reward: str = "reward", scale: bool = True, out: str = "advantage") -> DataFrame:
     """Reward minus group mean, over the sample deviation plus 1e-6 if ``scale``; a singleton's deviation counts as 0."""
-    w = Window.partitionBy(group)
+    w = _rows_of(df, group, reward)
     centred = F.col(reward) - F.avg(reward).over(w)
     return df.withColumn(out, centred / (F.coalesce(F.stddev_samp(reward).over(w), F.lit(0.0)) + EPS) if scale else centred)
 
 
 def leave_one_out(df: DataFrame, group: str = "group_index", reward: str = "reward", out: str = "advantage") -> DataFrame:
     """Reward minus the mean of the others of the group; null for a singleton."""
-    w = Window.partitionBy(group)
+    w = _rows_of(df, group, reward)
     others = (F.sum(reward).over(w) - F.col(reward)) / F.nullif(F.count(reward).over(w) - 1, F.lit(0))
     return df.withColumn(out, F.col(reward) - others)
 
 
 def in_range_normalized(df: DataFrame, group: str = "group_index", reward: str = "reward", out: str = "advantage") -> DataFrame:
     """Buffer variant: statistics over rewards in [0, 1] with the population deviation; others and all-zero groups stay."""
-    w = Window.partitionBy(group)
+    w = _rows_of(df, group, reward)
     valid = F.col(reward).between(0, 1)
     mean, std = F.avg(F.when(valid, F.col(reward))).over(w), F.stddev_pop(F.when(valid, F.col(reward))).over(w)
     zero = F.max(F.when(valid, F.abs(F.col(reward)))).over(w) == 0

@@ -15,6 +15,11 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def r6_scaled(c: Column | str) -> Column:
+    """Six digits as DuckDB rounds: of the product with 1e6, not of the shortest decimal form; they differ by ties alone."""
+    return F.round((F.col(c) if isinstance(c, str) else c) * 1e6) / 1e6 + F.lit(0.0)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples once each (rows delivered again are equal rows)."""
     return table(spark, sf_dir, "samples").select(*SAMPLE_COLUMNS).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from millrace.functions import grading as G
 from millrace.functions.udfs import batched
 from millrace.operators import advantages, eval_config, intervals, joins, metrics, rollouts, training
-from millrace.plans.base import S, r6, samples
+from millrace.plans.base import S, r6, r6_scaled, samples
 from millrace.plans.relational import E, SPAN, events
 from millrace.runtime import shared_dir, table
 from millrace.sources import cache, readers, sinks
@@ -172,7 +172,7 @@ SELECT 'grpo' AS estimator, sample_index, round((reward - m) / (sd + 1e-6), 6) +
 def f11_every_estimator(spark: SparkSession, d: str) -> DataFrame:
     """The dispatcher by name, for three kinds of estimator."""
     s = samples(spark, d).where("reward is not null")
-    parts = [advantages.advantages(s, name).select(F.lit(name).alias("estimator"), "sample_index", r6("advantage").alias("advantage")) for name in ("grpo", "rloo", "reinforce_plus_plus_baseline")]
+    parts = [advantages.advantages(s, name).select(F.lit(name).alias("estimator"), "sample_index", r6_scaled("advantage").alias("advantage")) for name in ("grpo", "rloo", "reinforce_plus_plus_baseline")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import advantages
-from millrace.plans import rl
+from millrace.plans import contracts, rl
 
 SCHEMA = "sample_index long, group_index long, rollout_id long, source string, response_length int, status string, reward double"
 
@@ -34,3 +34,25 @@ def test_maxrl_ties(spark, tmp_path):
     low = advantages.maxrl_by_power_sums(df.withColumn("l", F.greatest(F.lit(0.0), F.least("r", F.lit(1.0)))), "g", "i", "l").select("g", "i", "weight").collect()
     general = advantages.maxrl(df.withColumn("ll", advantages.likelihood_of_reward(F.col("r"))), "g", "i", "ll", degree=4).collect()
     assert {(r["g"], r["i"]): r["weight"] for r in low} == pytest.approx({(r["g"], r["i"]): r["weight"] for r in general}, abs=1e-9)
+
+
+def test_every_estimator_adds_up_in_order(spark, tmp_path):
+    rng = random.Random(5)
+    groups = [[rng.choice([0.0, 1.0, round(rng.random(), 4), round(rng.random(), 4)]) for _ in range(8)] for _ in range(400)]
+    rows = tables(spark, tmp_path, groups)
+    want = {}
+    for g, rewards in enumerate(groups):
+        total = 0.0
+        for r in rewards:
+            total += r
+        want |= {8 * g + i: r - total / 8 for i, r in enumerate(rewards)}
+    ties = sum(abs(abs(v * 1e6) % 1 - 0.5) < 1e-6 for v in want.values())
+    assert ties > 500 and len(rows) == len(want)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = contracts.f11_every_estimator(spark, str(tmp_path)).where("estimator = 'reinforce_plus_plus_baseline'").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        got = {r["sample_index"]: r["advantage"] for r in out}
+        assert got == {i: int(abs(v * 1e6) + 0.5) / 1e6 * (1 if v > 0 else -1) + 0.0 for i, v in want.items()}
